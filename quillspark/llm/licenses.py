@@ -48,11 +48,17 @@ def plain_words(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), WORD_GAP, " "))
 
 
-def _places(words: Column, phrase: str) -> Column:
-    parts = phrase.split()
-    last = F.size(words) - len(parts)
-    here = lambda i: F.forall(F.array(*[F.get(words, i + k) == w for k, w in enumerate(parts)]), lambda x: x)
-    return F.when(last >= 0, F.filter(F.sequence(F.lit(0), last), here)).otherwise(F.array().cast("array<int>"))
+def _spaces(text: Column) -> Column:
+    return F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit("")))
+
+
+def _places(plain: Column, phrase: str) -> Column:
+    """Where a phrase's words begin, as numbers of the words before: the text is cut before each
+    place, and the spaces of the pieces so far are the words so far."""
+    pieces = F.split(F.concat(F.lit("^ "), plain, F.lit(" ")), f"(?= {phrase} )")
+    start = F.struct(F.lit(0).alias("n"), F.array().cast("array<int>").alias("at"))
+    run = F.aggregate(pieces, start, lambda s, p: F.struct((s.n + _spaces(p)).alias("n"), F.concat(s.at, F.array(s.n)).alias("at")))
+    return F.slice(run.at, F.lit(2), F.size(run.at))
 
 
 def _needs(n: int, threshold: float) -> int:
@@ -63,7 +69,8 @@ def license_scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESH
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score); the score is the
     largest share of a template found in a line, 1 with a base phrase."""
     spark = docs.sparkSession
-    texts = id_and_text(docs, id_col, text_col).withColumn("plain", plain_words(F.col("text")))
+    # made by a generator, so that the optimiser does not repeat it in every expression that uses it
+    texts = id_and_text(docs, id_col, text_col).select("doc_id", "text", F.explode(F.array(plain_words(F.col("text")))).alias("plain"))
     words = {label: sorted(set(notice.split())) for label, notice in templates}
     every = sorted({w for s in words.values() for w in s})
 
@@ -95,8 +102,7 @@ def license_scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESH
     has = {label: F.contains(padded, F.lit(f" {phrase} ")) for phrase, label in PHRASES}
     any_base = has["cc-by"] | has["gpl"] | has["reserved"]
     none = F.array().cast("array<int>")
-    split = F.split("plain", " ")
-    places = F.when(any_base, F.concat(*[F.when(has[label], _places(split, phrase)).otherwise(none) for phrase, label in PHRASES])).otherwise(none)
+    places = F.when(any_base, F.concat(*[F.when(has[label], _places(F.col("plain"), phrase)).otherwise(none) for phrase, label in PHRASES])).otherwise(none)
     base = texts.select(
         "doc_id",
         F.when(F.col("plain") == "", 0).otherwise(F.length("plain") - F.length(F.replace("plain", F.lit(" "), F.lit(""))) + 1).cast("long").alias("n_words"),
