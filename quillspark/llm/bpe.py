@@ -21,10 +21,13 @@ import os
 import re
 import tempfile
 import unicodedata
+import uuid
 from collections import Counter
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
@@ -40,9 +43,13 @@ WORD_PIECES = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE
 BYTE_CHUNKS = re.compile(rf" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 WORD_CHUNKS = re.compile(rf"[^{SPACE}]+")
 
+# Characters that some split at and others do not: controls, and separators beyond ASCII.
+ODD = re.compile("[\x00-\x08\x0e-\x1f\x7f-\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff]")
+
 WORDS = 16_384
-CACHE = 400_000
+CACHE = 600_000
 SLICE = 4_000_000
+NO_PAIR = np.int32(2**31 - 1)
 
 
 def byte_letters() -> list[str]:
@@ -55,10 +62,10 @@ def byte_letters() -> list[str]:
 
 
 class PairTable:
-    """(left, right) -> (rank, merged id) for arrays: hash levels without collisions, each of
+    """(left, right) -> rank for arrays, and rank -> merged id: hash levels without collisions, each of
     which holds the pairs that met a taken place on the level above."""
 
-    def __init__(self, left, right, rank, merged):
+    def __init__(self, left, right, merged):
         key = (left.astype(np.uint64) << np.uint64(20)) | right.astype(np.uint64)
         self.levels, rest, bits = [], np.arange(len(key)), 18
         while len(rest):
@@ -70,12 +77,12 @@ class PairTable:
             keys[slot[first]], at[slot[first]] = key[rest[first]], rest[first]
             self.levels.append((odd, np.uint64(64 - bits), keys, at))
             rest, bits = np.delete(rest, first), 14
-        self.rank, self.merged = rank.astype(np.int64), merged.astype(np.int64)
+        self.merged = merged.astype(np.int32)
 
     def find(self, left, right) -> np.ndarray:
-        """Index of each pair, -1 where it isn't one."""
+        """The rank of each pair, NO_PAIR where it isn't one."""
         key = (left.astype(np.uint64) << np.uint64(20)) | right.astype(np.uint64)
-        out = np.full(len(key), -1, np.int64)
+        out = np.full(len(key), NO_PAIR, np.int32)
         open_ = None
         for odd, shift, keys, at in self.levels:
             k = key if open_ is None else key[open_]
@@ -99,11 +106,11 @@ class Vocabulary:
         self.data, self.end = data, model.get("end_of_word_suffix") or ""
         vocab = model["vocab"]
         letters = byte_letters()
-        self.first = np.array([vocab.get(x, -1) for x in letters], np.int64)
-        self.last = np.array([vocab.get(x + self.end, -1) for x in letters], np.int64)
+        self.first = np.array([vocab.get(x, -1) for x in letters], np.int32)
+        self.last = np.array([vocab.get(x + self.end, -1) for x in letters], np.int32)
         pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         ids = np.array([(vocab[a], vocab[b], vocab[a + b]) for a, b in pairs], np.int64)
-        self.pairs = PairTable(ids[:, 0], ids[:, 1], np.arange(len(ids)), ids[:, 2])
+        self.pairs = PairTable(ids[:, 0], ids[:, 1], ids[:, 2])
         of_letter = {x: bytes([b]) for b, x in enumerate(letters)}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.bytes_of: dict[int, bytes] = {i: b"".join(of_letter.get(c, c.encode()) for c in w) for w, i in vocab.items()}
@@ -117,37 +124,46 @@ class Vocabulary:
         if not len(live):
             return out
         raw = np.frombuffer(b"".join(words), np.uint8)
-        s = self.first[raw]
-        ends = np.cumsum(size[live])
-        s[ends - 1] = self.last[raw[ends - 1]]
         size = size[live]
+        word = np.repeat(np.arange(len(size), dtype=np.int32), size)
+        last = np.zeros(len(raw), bool)
+        last[np.cumsum(size) - 1] = True
+        s = np.where(last, self.last[raw], self.first[raw])
+        rank = np.full(len(s), NO_PAIR, np.int32)  # of the pair that begins here
+        rank[:-1] = self.pairs.find(s[:-1], s[1:])
+        rank[last] = NO_PAIR
         while len(live):
-            starts = np.concatenate([[0], np.cumsum(size)[:-1]])
-            pair = np.full(len(s), -1, np.int64)
-            pair[:-1] = self.pairs.find(s[:-1], s[1:])
-            pair[starts + size - 1] = -1
-            rank = np.where(pair >= 0, self.pairs.rank[pair], 2**62)
+            starts = np.cumsum(size) - size
             least = np.minimum.reduceat(rank, starts)
-            done = least == 2**62
+            done = least == NO_PAIR
             if done.any():
-                ids = s.astype("<u4")
-                for w, a, n in zip(live[done].tolist(), starts[done].tolist(), size[done].tolist(), strict=True):
-                    out[w] = ids[a:a + n].tobytes()
-                stay = np.repeat(~done, size)
-                s, pair, rank, live, least, size = s[stay], pair[stay], rank[stay], live[~done], least[~done], size[~done]
+                ids = s.astype("<u4").tobytes()
+                for w, a, b in zip(live[done].tolist(), (4 * starts[done]).tolist(), (4 * (starts + size)[done]).tolist(), strict=True):
+                    out[w] = ids[a:b]
+                stay = ~done[word]
+                s, rank, last, word = s[stay], rank[stay], last[stay], (np.cumsum(~done, dtype=np.int32) - np.int32(1))[word[stay]]
+                live, least, size = live[~done], least[~done], size[~done]
                 if not len(live):
                     break
-            here = rank == np.repeat(least, size)
+            here = rank == least[word]
             # of overlapping places (a a a) every second one, from the left
-            place = np.arange(len(s))
-            run = place - np.maximum.accumulate(np.where(here & ~np.concatenate([[False], here[:-1]]), place, 0))
-            here &= run % 2 == 0
+            double = here[1:] & here[:-1]
+            if double.any():
+                place = np.arange(len(s))
+                run = place - np.maximum.accumulate(np.where(here & ~np.concatenate([[False], here[:-1]]), place, 0))
+                here &= run % 2 == 0
             at = np.flatnonzero(here)
-            s[at] = self.pairs.merged[pair[at]]
+            s[at] = self.pairs.merged[rank[at]]
+            last[at] = last[at + 1]
             keep = np.ones(len(s), bool)
             keep[at + 1] = False
-            size = size - np.bincount(np.repeat(np.arange(len(size)), size)[at], minlength=len(size))
-            s = s[keep]
+            size = size - np.bincount(word[at], minlength=len(size))
+            s, rank, last, word = s[keep], rank[keep], last[keep], word[keep]
+            at -= np.arange(len(at))
+            near = np.concatenate([at, at[at > 0] - 1])  # the pairs that a merge changed
+            rank[near] = NO_PAIR
+            near = near[~last[near]]
+            rank[near] = self.pairs.find(s[near], s[near + 1])
         return out
 
 
@@ -259,22 +275,50 @@ class Encoder:
             text = unicodedata.normalize("NFC", text)
         return text.lower() if "Σ" not in text else "".join(c.lower() for c in text)  # no final-sigma rule
 
-    def learn(self, chunks) -> None:
-        new = [c for c in chunks if c not in self.known]
-        raw = [c.encode() for c in new]
-        found = self.transducer.look_up(raw) if self.transducer else [None] * len(new)
-        self.known.update((c, f) for c, f in zip(new, found, strict=True) if f is not None)
-        rest = [c for c, f in zip(new, found, strict=True) if f is None]
-        pieces = [self.pieces.findall(c) for c in rest]
-        number: dict[str, int] = {}
-        for p in pieces:
-            for x in p:
-                number.setdefault(x, len(number))
-        ids = self.vocabulary.merge([x.encode() for x in number])
-        self.known.update((c, b"".join([ids[number[x]] for x in p])) for c, p in zip(rest, pieces, strict=True))
+    def learn(self, chunks: set) -> None:
+        new = list(chunks - self.known.keys())
+        if self.transducer:
+            found = self.transducer.look_up([c.encode() for c in new])
+            self.known.update((c, f) for c, f in zip(new, found, strict=True) if f is not None)
+            new = [c for c, f in zip(new, found, strict=True) if f is None]
+        # letters alone, with or without the space before them, are one piece
+        whole, rest = [], []
+        for c in new:
+            (whole if c.isalpha() or (c[:1] == " " and c[1:].isalpha()) else rest).append(c)
+        pieces = list(map(self.pieces.findall, rest))
+        number = {x: k for k, x in enumerate(dict.fromkeys(chain.from_iterable(pieces)))}
+        ids = self.vocabulary.merge([x.encode() for x in chain(whole, number)])
+        self.known.update(zip(whole, ids[: len(whole)], strict=True))
+        of_piece = dict(zip(number, ids[len(whole):], strict=True)).__getitem__
+        self.known.update((c, b"".join(map(of_piece, p))) for c, p in zip(rest, pieces, strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian uint32."""
+        if len(self.known) > CACHE:
+            self.known.clear()
+        if not self.by_words:
+            return self.encode_chunks(texts)
+        # texts without odd characters are split, numbered and put together by Arrow
+        odd = [k for k, t in enumerate(texts) if ODD.search(t) or ("<|" in t and self.special and self.special.search(t))]
+        out: list = [None] * len(texts)
+        for k, ids in zip(odd, self.encode_chunks([texts[k] for k in odd]), strict=True):
+            out[k] = ids
+        plain = [k for k, x in enumerate(out) if x is None]
+        words = pc.ascii_split_whitespace(pa.array([self.normal(texts[k]) for k in plain], pa.large_string()))
+        ends = words.offsets.to_numpy() - words.offsets[0].as_py()
+        flat = words.flatten().dictionary_encode()
+        distinct = flat.dictionary.to_pylist()
+        self.learn(set(distinct))
+        known = pa.array(map(self.known.__getitem__, distinct), pa.large_binary())
+        ids = known.take(flat.indices)
+        at = np.frombuffer(ids.buffers()[1], np.int64)[ids.offset: ids.offset + len(ids) + 1][ends].tolist() if len(ids) else [0] * len(ends)
+        data = memoryview(ids.buffers()[2] or b"")
+        for k, a, b in zip(plain, at, at[1:], strict=False):
+            out[k] = bytes(data[a:b])
+        return out
+
+    def encode_chunks(self, texts: list[str]) -> list[bytes]:
+        """Any texts, chunk by chunk; special tokens become their ids."""
         split = []
         for t in texts:
             if "<|" in t and self.special and self.special.search(t):
@@ -286,8 +330,6 @@ class Encoder:
             else:
                 split.append(self.chunks.findall(self.normal(t)))
         plain = [x for s in split for x in ([s] if not s or isinstance(s[0], str) else [p for p in s if isinstance(p, list)])]
-        if len(self.known) > CACHE:
-            self.known.clear()
         self.learn(set().union(*plain))
         get = self.known.__getitem__
         return [b"".join(map(get, s)) if not s or isinstance(s[0], str) else b"".join(x.to_bytes(4, "little") if isinstance(x, int) else b"".join(map(get, x)) for x in s) for s in split]
@@ -296,7 +338,7 @@ class Encoder:
 def slices(batches, size: int = SLICE):
     """Batches cut so that the texts of a slice have about `size` bytes, or one row."""
     for batch in batches:
-        ends = np.cumsum(pa.compute.binary_length(batch.column("text")).to_numpy(zero_copy_only=False))
+        ends = np.cumsum(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False))
         at = 0
         while at < batch.num_rows:
             stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size)))
@@ -349,9 +391,9 @@ def encoded(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_c
         data = f.read()
     encoder = Encoder(vocabulary_of(data))
     common = frequent_chunks(texts)
-    encoder.learn(common)
+    encoder.learn(set(common))
     content = Transducer.build({w.encode(): encoder.known[w] for w in common})
-    name = f"lexicon-{hashlib.sha1(content).hexdigest()[:16]}.bin"
+    name = f"lexicon-{uuid.uuid4().hex}.bin"
     folder = tempfile.mkdtemp()
     with open(os.path.join(folder, name), "wb") as f:
         f.write(content)
