@@ -130,7 +130,7 @@ GENERIC_PATTERNS = {
     "email": (r"([A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})",),
     "ipv4": (r"(?<![\d.])((?:\d{1,3}\.){3}\d{1,3})(?![\d.])",),
     "long_number": (r"(?<!\d)(\d{16})(?!\d)",),
-    "license": (r"([^\n]*\b(?:License|CC BY)[^\n]*)",),
+    "license": (r"(^[^\n]*\b(?:License|CC BY)[^\n]*)",),
     "year": (r"(?<!\d)((?:19|20)\d{2})(?!\d)",),
 }
 
