@@ -33,7 +33,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text
+from .common import id_and_text, only, remembers, slices
 
 # The white space of Unicode, and the split patterns of the two vocabularies.
 SPACE = "\t-\r \x85\xa0  -     　"
@@ -47,8 +47,7 @@ WORD_CHUNKS = re.compile(rf"[^{SPACE}]+")
 ODD = re.compile("[\x00-\x08\x0e-\x1f\x7f-\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff]")
 
 WORDS = 16_384
-CACHE = 600_000
-SLICE = 4_000_000
+CACHE = 500_000
 NO_PAIR = np.int32(2**31 - 1)
 
 
@@ -296,25 +295,25 @@ class Encoder:
         """The ids of each text, as little-endian uint32."""
         if len(self.known) > CACHE:
             self.known.clear()
-        if not self.by_words:
-            return self.encode_chunks(texts)
         # texts without odd characters are split, numbered and put together by Arrow
-        odd = [k for k, t in enumerate(texts) if ODD.search(t) or ("<|" in t and self.special and self.special.search(t))]
+        odd = [k for k, t in enumerate(texts) if (self.by_words and ODD.search(t)) or ("<|" in t and self.special and self.special.search(t))]
         out: list = [None] * len(texts)
         for k, ids in zip(odd, self.encode_chunks([texts[k] for k in odd]), strict=True):
             out[k] = ids
         plain = [k for k, x in enumerate(out) if x is None]
-        words = pc.ascii_split_whitespace(pa.array([self.normal(texts[k]) for k in plain], pa.large_string()))
-        ends = words.offsets.to_numpy() - words.offsets[0].as_py()
-        flat = words.flatten().dictionary_encode()
+        if self.by_words:
+            words = pc.ascii_split_whitespace(pa.array([self.normal(texts[k]) for k in plain], pa.large_string()))
+            ends, flat = words.offsets.to_numpy() - words.offsets[0].as_py(), words.flatten()
+        else:
+            lists = [self.chunks.findall(texts[k]) for k in plain]
+            ends = np.cumsum([0, *map(len, lists)])
+            flat = pa.array(chain.from_iterable(lists), pa.large_string())
+        flat = flat.dictionary_encode()
         distinct = flat.dictionary.to_pylist()
         self.learn(set(distinct))
         known = pa.array(map(self.known.__getitem__, distinct), pa.large_binary())
-        ids = known.take(flat.indices)
-        at = np.frombuffer(ids.buffers()[1], np.int64)[ids.offset: ids.offset + len(ids) + 1][ends].tolist() if len(ids) else [0] * len(ends)
-        data = memoryview(ids.buffers()[2] or b"")
-        for k, a, b in zip(plain, at, at[1:], strict=False):
-            out[k] = bytes(data[a:b])
+        for k, ids in zip(plain, runs(known.take(flat.indices), ends), strict=True):
+            out[k] = ids
         return out
 
     def encode_chunks(self, texts: list[str]) -> list[bytes]:
@@ -335,15 +334,13 @@ class Encoder:
         return [b"".join(map(get, s)) if not s or isinstance(s[0], str) else b"".join(x.to_bytes(4, "little") if isinstance(x, int) else b"".join(map(get, x)) for x in s) for s in split]
 
 
-def slices(batches, size: int = SLICE):
-    """Batches cut so that the texts of a slice have about `size` bytes, or one row."""
-    for batch in batches:
-        ends = np.cumsum(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False))
-        at = 0
-        while at < batch.num_rows:
-            stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size)))
-            yield batch.slice(at, stop - at)
-            at = stop
+def runs(values: pa.LargeBinaryArray, ends) -> list[bytes]:
+    """Runs of consecutive values, each put together; ends: the values before each run, and all."""
+    if not len(values):
+        return [b""] * (len(ends) - 1)
+    at = np.frombuffer(values.buffers()[1], np.int64)[values.offset: values.offset + len(values) + 1][ends].tolist()
+    data = memoryview(values.buffers()[2] or b"")
+    return [bytes(data[a:b]) for a, b in zip(at, at[1:], strict=False)]
 
 
 _loaded: dict = {}
@@ -404,10 +401,10 @@ def encoded(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_c
         if (key := ("encoder", name)) not in _loaded:
             _loaded[key] = Encoder(vocabulary_of(shared.value), mapped(name))
         e = _loaded[key]
-        token = e.vocabulary.bytes_of.__getitem__
+        tokens = pa.array([e.vocabulary.bytes_of.get(k, b"") for k in range(max(e.vocabulary.bytes_of) + 1)], pa.large_binary())
         for batch in slices(batches):
             ids = e.encode(batch.column("text").to_pylist())
-            back = [b"".join(map(token, np.frombuffer(x, "<u4").tolist())) for x in ids]
+            back = runs(tokens.take(pa.array(np.frombuffer(b"".join(ids), "<u4"))), np.cumsum([0, *(len(x) // 4 for x in ids)]))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary()), pa.array(back, pa.binary())], names=["doc_id", "ids", "decoded"])
 
     return texts.mapInArrow(run, "doc_id long, ids binary, decoded binary")

@@ -10,6 +10,8 @@ from __future__ import annotations
 import tempfile
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,10 +61,26 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
+_caches: dict = {}
+
+
+def remembers(owner: str, clear) -> None:
+    """Register what an operator keeps in a worker from task to task."""
+    _caches[owner] = clear
+
+
+def only(owner: str = "") -> None:
+    """Called as a task begins: a worker keeps one operator's memory, not that of all it has served."""
+    for name, clear in _caches.items():
+        if name != owner:
+            clear()
+    pa.default_memory_pool().release_unused()
+
+
 class WordHashes(dict):
     """word (bytes) -> 64-bit hash, remembering a bounded number of words."""
 
-    limit = 400_000
+    limit = 150_000
 
     def __missing__(self, word):
         h = xxhash.xxh3_64_intdigest(word)
@@ -115,6 +133,17 @@ def unpack_sorted(data: bytes) -> np.ndarray:
     return np.cumsum(full.view("<u8").ravel(), dtype=U64) + U64(first)
 
 
+def slices(batches, size: int = 4_000_000):
+    """Batches cut so that the texts of a slice have about `size` bytes, or one row."""
+    for batch in batches:
+        ends = np.cumsum(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < batch.num_rows:
+            stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size)))
+            yield batch.slice(at, stop - at)
+            at = stop
+
+
 def crc_of_id(df_col="doc_id"):
     """crc32 of the identifier written as text; null identifiers count as the empty text."""
     return F.crc32(F.coalesce(F.col(df_col).cast("string"), F.lit("")).cast("binary"))

@@ -5,17 +5,18 @@ that meet the threshold num/den differ in at most d = (den-num)/(den+num) * (|A|
 shingles.  Sizes are dealt into bands; for the largest size of a band the hash space is cut
 into k > d parts, so linked sets agree on at least k-d whole parts.  k is chosen so that
 one of those parts holds several shingles, and such parts are the tile keys: sets that
-agree on a part are candidates.  Candidates are grouped (connected by keys), and inside a
-group size-sorted tiles compare bitmap signatures: the bit count of their exclusive-or is a
-lower bound of the difference, so an upper bound of the overlap; survivors are decided by
-exact intersection of the sorted arrays.
-
-Scale.  Tile keys travel as packed, sorted arrays, one blob a batch and bucket; of one
-batch only one document stands for a key, so a hot key costs one entry a batch.  Equal sets
-are one representative.  Groups that are too large for one task are cut into size-ordered
-blocks, and each pair of blocks whose sizes can meet is a tile of bounded size.  Within
-a tile a document that has joined a component is compared no more, so a group of thousands
-of near copies costs about one comparison a member, and spanning links are all that leaves.
+agree on a part are candidates.  A bitmap signature holds the parity of the shingles that hash to
+each bit; the bit count of two bitmaps' exclusive-or is a lower bound of the sets' difference, so
+an upper bound of their overlap.  All pairs of a small bucket are tried; a bucket of more than
+SMALL sets is compared in size-sorted tiles.  What bitmaps leave connected is a group, and inside
+a group tiles compare bitmaps again, and survivors by exact intersection of the sorted arrays.
+
+Scale.  Tile keys travel as packed, sorted arrays, one blob a batch and bucket; keys that are
+common within a batch leave it as rows of their own.  Equal sets are one representative.  Buckets
+and groups that are too large for one task are cut into blocks by size band, and each pair of
+blocks whose sizes can meet is a tile of bounded size.  Within a tile a document that has
+joined a component is compared no more, so thousands of near copies cost about one
+comparison a member, and spanning links are all that leaves.
 
 Defined results: null or empty text, or text without words: empty set, linked with nothing
 (component_id is its own doc_id).  Fewer than n words: the whole sequence is one shingle.
@@ -34,13 +35,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, WordHashes, checkpointed, id_and_text, mix, n_partitions, pack_sorted, unpack_sorted, windows
+from .common import U64, WordHashes, checkpointed, id_and_text, mix, n_partitions, only, pack_sorted, remembers, slices, unpack_sorted, windows
+from .bloom import only_listed
 from .components import connected_components
 
 RATIO = 1.25
-BITS = 1024
+#: The fewest bits of a bitmap; larger sets have a power of two of at least six tenths of their size.
+BITS = 64
 #: Documents and shingles in one block of a group that is cut into tiles.
 BLOCK_ROWS, BLOCK_SHINGLES = 2048, 4_000_000
+#: Sets of a bucket of which all pairs are tried.
+SMALL = 16
+#: Sets of a tile of which all bitmaps are compared at once.
+FEW = 128
+#: High bits of a tile key that are sent; a chance meeting only makes a candidate.
+KEY_BITS = 48
 _HASHES = WordHashes()
 
 
@@ -104,9 +113,41 @@ def tile_keys(s: np.ndarray, num: int, den: int) -> np.ndarray:
 
 
 def bitmap(s: np.ndarray) -> np.ndarray:
-    bits = np.zeros(BITS, np.uint8)
-    bits[(mix(s) & U64(BITS - 1)).astype(np.int64)] = 1
-    return np.packbits(bits).view(U64)
+    """Parities of the shingles that hash to each bit; the low bits of the hash count, so a bitmap
+    folds to a smaller one by the exclusive-or of its halves."""
+    n = max(BITS, 1 << (max(1, 6 * len(s) // 10) - 1).bit_length())
+    odd = np.bincount((mix(s) & U64(n - 1)).astype(np.int64), minlength=n) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(U64)
+
+
+def folded(bits: np.ndarray, words: int) -> np.ndarray:
+    while bits.shape[-1] > words:
+        half = bits.shape[-1] // 2
+        bits = bits[..., :half] ^ bits[..., half:]
+    return bits
+
+
+class Bitmaps:
+    """Bitmaps of several lengths, a matrix a length."""
+
+    def __init__(self, data: list[bytes]):
+        self.words = np.array([len(x) // 8 for x in data], np.int64)
+        self.row = np.zeros(len(data), np.int64)
+        self.of = {}
+        for w in np.unique(self.words):
+            own = np.flatnonzero(self.words == w)
+            self.row[own] = np.arange(len(own))
+            self.of[int(w)] = np.frombuffer(b"".join(data[i] for i in own), U64).reshape(-1, w)
+
+    def differ(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Bits in which the bitmaps x[i] and y[i] differ, at the length of the shorter one."""
+        out = np.zeros(len(x), np.int64)
+        a, b = self.words[x], self.words[y]
+        for u, v in {*zip(a.tolist(), b.tolist(), strict=True)}:
+            at, least = np.flatnonzero((a == u) & (b == v)), min(u, v)
+            one, two = self.of[u][self.row[x[at]]], self.of[v][self.row[y[at]]]
+            out[at] = np.bitwise_count(folded(one, least) ^ folded(two, least)).sum(1, dtype=np.int64)
+        return out
 
 
 def _texts(batch: pa.RecordBatch, name: str = "text"):
@@ -115,20 +156,39 @@ def _texts(batch: pa.RecordBatch, name: str = "text"):
 
 def _classes(batches, n):
     for batch in batches:
-        size, a, b = [], [], []
+        size, a, b, bits = [], [], [], []
         for t in _texts(batch):
             s = shingles(t, n)
             size.append(len(s))
             a.append(int(mix(s).sum(dtype=U64)) if len(s) else 0)
             b.append(int(mix(s ^ U64(0xA5A5A5A5A5A5A5A5)).sum(dtype=U64)) if len(s) else 0)
+            bits.append(bitmap(s).tobytes())
         signed = [pa.array(np.array(x, U64).view(np.int64)) for x in (a, b)]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size, pa.int64()), *signed], names=["doc_id", "n_shingles", "f1", "f2"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size, pa.int64()), *signed, pa.array(bits, pa.binary())], names=["doc_id", "n_shingles", "f1", "f2", "bits"])
+
+
+def _split(keys: np.ndarray, ids: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of sorted keys: the pairs (larger, smaller id) of small buckets, and which entries are in
+    large ones: of more than SMALL entries, or with a key that is hot elsewhere."""
+    edge = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]]))
+    start, count = edge[:-1], np.diff(edge)
+    large = (count > SMALL) | np.isin(keys[start], hot)
+    pairs = [np.empty((0, 2), np.int64)]
+    for c in range(2, SMALL + 1):
+        rows = ids[start[(count == c) & ~large][:, None] + np.arange(c)]
+        i, j = np.triu_indices(c, 1)
+        pairs.append(np.stack([rows[:, j].ravel(), rows[:, i].ravel()], 1))
+    pairs = np.concatenate(pairs)
+    return np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0), np.repeat(large, count)
+
+
+_BLOB = (("bucket", pa.int32()), ("keys", pa.binary()), ("docs", pa.binary()), ("owner", pa.binary()), ("hot", pa.binary()), ("rows", pa.binary()))
 
 
 def _keys(batches, n, num, den, buckets):
-    """Blobs (bucket, sorted keys, documents) and, as rows with documents on both sides, the
-    links of documents that share a key within this batch."""
-    for batch in batches:
+    """Blobs (bucket, sorted keys, documents and which of them owns each key, hot keys) and, apart,
+    the entries of keys that are hot in this batch."""
+    for batch in slices(batches, 8_000_000):
         ids = batch.column("doc_id").to_numpy()
         seen, keys, owner = set(), [], []
         for i, t in enumerate(_texts(batch)):
@@ -139,45 +199,51 @@ def _keys(batches, n, num, den, buckets):
             if same in seen:  # a copy: the classes join it to its representative
                 continue
             seen.add(same)
-            k = tile_keys(s, num, den)
+            k = np.unique(tile_keys(s, num, den) >> U64(64 - KEY_BITS))
             keys.append(k)
-            owner.append(np.full(len(k), ids[i]))
+            owner.append(np.full(len(k), i))
         if not keys:
             continue
         keys, owner = np.concatenate(keys), np.concatenate(owner)
-        order = np.lexsort((owner, keys))
+        order = np.lexsort((ids[owner], keys))
         keys, owner = keys[order], owner[order]
-        first = np.concatenate([[True], keys[1:] != keys[:-1]])
-        head = owner[first][np.cumsum(first) - 1]
-        local = np.unique(np.stack([owner[~first], head[~first]], 1), axis=0)
-        keys, owner = keys[first], owner[first]
-        bucket = ((keys >> U64(32)) * U64(buckets) >> U64(32)).astype(np.int64)
-        at = np.searchsorted(bucket, np.arange(buckets + 1))
-        full = np.flatnonzero(np.diff(at))
-        rows = [(int(b), pack_sorted(keys[at[b]:at[b + 1]]), owner[at[b]:at[b + 1]].astype("<i8").tobytes(), None) for b in full]
-        if len(local):
-            rows.append((int(local[0, 0]) % buckets, b"", np.ascontiguousarray(local[:, 0]).astype("<i8").tobytes(), np.ascontiguousarray(local[:, 1]).astype("<i8").tobytes()))
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "keys", "u", "v"])
+        _, apart = _split(keys, ids[owner], keys[:0])
+        rows, hot = [], np.unique(keys[apart])
+        for k in range(0, int(apart.sum()), 1 << 16):
+            some = np.stack([keys[apart][k:k + (1 << 16)].view(np.int64), ids[owner[apart][k:k + (1 << 16)]]], 1)
+            rows.append((int(some[0, 1]) % buckets, None, None, None, None, some.astype("<i8").tobytes()))
+        keys, owner = keys[~apart], owner[~apart]
+        cut = lambda x: np.searchsorted(((x >> U64(KEY_BITS - 32)) * U64(buckets) >> U64(32)).astype(np.int64), np.arange(buckets + 1))
+        at, ah = cut(keys), cut(hot)
+        for b in np.flatnonzero(np.diff(at) + np.diff(ah)):
+            docs, number = np.unique(owner[at[b]:at[b + 1]], return_inverse=True)
+            kind = "<u2" if len(docs) < 1 << 16 else "<u4"
+            rows.append((int(b), pack_sorted(keys[at[b]:at[b + 1]]), ids[docs].astype("<i8").tobytes(), number.astype(kind).tobytes(), pack_sorted(hot[ah[b]:ah[b + 1]]), None))
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, (_, t) in enumerate(_BLOB)], names=[x for x, _ in _BLOB])
 
 
 def _meet(table: pa.Table) -> pa.Table:
-    """Of the blobs of a bucket: each document of a key hangs on the key's smallest one."""
-    keys, ids, pairs = [], [], []
-    for k, u, v in zip(*(table.column(c).to_pylist() for c in ("keys", "u", "v")), strict=True):
-        if v is None:
+    """Of the blobs of a bucket: candidate pairs (u, v), and entries (u, key) of large buckets."""
+    keys, ids, hot, apart = [np.empty(0, U64)], [np.empty(0, np.int64)], [np.empty(0, U64)], [np.empty((0, 2), np.int64)]
+    for k, docs, owner, h, rows in zip(*(table.column(c).to_pylist() for c in ("keys", "docs", "owner", "hot", "rows")), strict=True):
+        if rows is None:
+            docs = np.frombuffer(docs, "<i8")
             keys.append(unpack_sorted(k))
-            ids.append(np.frombuffer(u, "<i8"))
+            ids.append(docs[np.frombuffer(owner, "<u2" if len(docs) < 1 << 16 else "<u4")])
+            hot.append(unpack_sorted(h))
         else:
-            pairs.append(np.stack([np.frombuffer(u, "<i8"), np.frombuffer(v, "<i8")], 1))
-    if keys:
-        keys, ids = np.concatenate(keys), np.concatenate(ids)
-        order = np.lexsort((ids, keys))
-        keys, ids = keys[order], ids[order]
-        first = np.concatenate([[True], keys[1:] != keys[:-1]])
-        head = ids[first][np.cumsum(first) - 1]
-        pairs.append(np.stack([ids[~first], head[~first]], 1))
-    pairs = np.unique(np.concatenate(pairs), axis=0) if pairs else np.empty((0, 2), np.int64)
-    return pa.table({"u": pairs[:, 0].copy(), "v": pairs[:, 1].copy()})
+            apart.append(np.frombuffer(rows, "<i8").reshape(-1, 2))
+    keys, ids = np.concatenate(keys), np.concatenate(ids)
+    order = np.lexsort((ids, keys))
+    keys, ids = keys[order], ids[order]
+    pairs, large = _split(keys, ids, np.unique(np.concatenate(hot)))
+    apart = np.concatenate([*apart, np.stack([keys[large].view(np.int64), ids[large]], 1)])
+    none = [None] * len(pairs)
+    return pa.table({
+        "u": np.concatenate([pairs[:, 0], apart[:, 1]]),
+        "v": pa.array([*pairs[:, 1].tolist(), *[None] * len(apart)], pa.int64()),
+        "key": pa.array([*none, *apart[:, 0].tolist()], pa.int64()),
+    })
 
 
 def _sets(batches, n):
@@ -186,9 +252,33 @@ def _sets(batches, n):
         yield pa.RecordBatch.from_arrays([batch.column("tile"), batch.column("doc_id"), pa.array([len(x) for x in s], pa.int64()), pa.array([bitmap(x).tobytes() for x in s], pa.binary()), pa.array([x.tobytes() for x in s], pa.binary())], names=["tile", "doc_id", "n", "bits", "hashes"])
 
 
+def _few_links(ids, sizes, bits, num: int, den: int) -> list[tuple[int, int]]:
+    """Spanning links of what bitmaps allow, all pairs of a small tile at once."""
+    n, out = len(ids), []
+    i, j = np.triu_indices(n, 1)
+    close = sizes[i] * den >= sizes[j] * num
+    i, j = i[close], j[close]
+    both = sizes[i] + sizes[j]
+    ok = (both - bits.differ(i, j)) * (num + den) >= 2 * num * both
+    meets = np.zeros((n, n), bool)
+    meets[i[ok], j[ok]] = meets[j[ok], i[ok]] = True
+    free = meets.any(1)
+    while free.any():
+        frontier = np.array([np.argmax(free)])
+        free[frontier] = False
+        while len(frontier):
+            new = np.flatnonzero(meets[frontier].any(0) & free)
+            free[new] = False
+            out += zip(ids[new].tolist(), ids[frontier[meets[np.ix_(frontier, new)].argmax(0)]].tolist(), strict=True)
+            frontier = new
+    return out
+
+
 def links_of(ids, sizes, bits, sets, num: int, den: int) -> list[tuple[int, int]]:
-    """Spanning links of the components of a tile.  ids etc. sorted by size."""
+    """Spanning links of the components of a tile; without sets, of what bitmaps allow.  All sorted by size."""
     n, out = len(ids), []
+    if sets is None and n <= FEW:
+        return _few_links(ids, sizes, bits, num, den)
     free = np.arange(n)
     while len(free):
         frontier, free = [free[0]], free[1:]
@@ -201,14 +291,14 @@ def links_of(ids, sizes, bits, sets, num: int, den: int) -> list[tuple[int, int]
                 continue
             both = sizes[near] + sizes[x]
             need = -(-both * num // (num + den))
-            differ = np.bitwise_count(bits[near] ^ bits[x]).sum(1, dtype=np.int64)
+            differ = bits.differ(near, np.full(len(near), x))
             near = near[(both - differ) // 2 >= need]
-            hit = []
-            for y in near:
-                common = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
-                if den * common >= num * (sizes[x] + sizes[y] - common):
-                    out.append((int(ids[y]), int(ids[x])))
-                    hit.append(y)
+            if sets is None:
+                hit = near.tolist()
+            else:
+                common = [len(np.intersect1d(sets[x], sets[y], assume_unique=True)) for y in near]
+                hit = [y for y, c in zip(near, common, strict=True) if den * c >= num * (sizes[x] + sizes[y] - c)]
+            out += [(int(ids[y]), int(ids[x])) for y in hit]
             if hit:
                 frontier += hit
                 free = free[~np.isin(free, hit)]
@@ -218,57 +308,118 @@ def links_of(ids, sizes, bits, sets, num: int, den: int) -> list[tuple[int, int]
 def _link_tile(table: pa.Table, num: int, den: int) -> pa.Table:
     ids, sizes = table.column("doc_id").to_numpy(), table.column("n").to_numpy()
     order = np.lexsort((ids, sizes))
-    bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), U64).reshape(-1, BITS // 64)
-    sets = [np.frombuffer(x, U64) for x in table.column("hashes").to_pylist()]
-    found = links_of(ids[order], sizes[order], bits[order], [sets[i] for i in order], num, den)
+    bits = table.column("bits").to_pylist()
+    bits = Bitmaps([bits[i] for i in order])
+    sets = None
+    if "hashes" in table.column_names:
+        sets = [np.frombuffer(x, U64) for x in table.column("hashes").to_pylist()]
+        sets = [sets[i] for i in order]
+    found = links_of(ids[order], sizes[order], bits, sets, num, den)
     return pa.table({"u": pa.array([x for x, _ in found], pa.int64()), "v": pa.array([y for _, y in found], pa.int64())})
 
 
-def jaccard_components(docs: DataFrame, n: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id): linked are sets of n-word shingles whose Jaccard
-    similarity is at least the threshold (a fraction with a small denominator)."""
-    t = Fraction(threshold).limit_denominator(1000)
-    num, den = t.numerator, t.denominator
-    spark = docs.sparkSession
-    buckets = n_partitions(spark)
-    texts = id_and_text(docs, id_col, text_col)
-    known = texts.where("doc_id is not null")
+def _allowed(batches, num: int, den: int):
+    """The pairs whose bitmaps allow the overlap that a link needs."""
+    for batch in batches:
+        n = batch.num_rows
+        size = [batch.column(c).to_numpy() for c in ("nu", "nv")]
+        maps = Bitmaps(batch.column("bu").to_pylist() + batch.column("bv").to_pylist())
+        both = size[0] + size[1]
+        differ = maps.differ(np.arange(n), np.arange(n, 2 * n)) if n else both
+        yield batch.select(["u", "v"]).filter(pa.array((both - differ) * (num + den) >= 2 * num * both))
 
-    sized = checkpointed(texts.mapInArrow(lambda b: _classes(b, n), "doc_id long, n_shingles long, f1 long, f2 long"))
-    filled = sized.where("doc_id is not null and n_shingles > 0")
-    heads = filled.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("head"))
-    member = filled.join(heads, ["f1", "f2", "n_shingles"]).select("doc_id", "head").distinct()
-    member = checkpointed(member)
 
-    blobs = known.mapInArrow(lambda b: _keys(b, n, num, den, buckets), "bucket int, keys binary, u binary, v binary")
-    meet = blobs.groupBy("bucket").applyInArrow(_meet, "u long, v long").distinct()
-    as_u, as_v = member.toDF("u", "hu"), member.toDF("v", "hv")
-    grouped = connected_components(meet.join(as_u, "u").join(as_v, "v").select(F.col("hu").alias("u"), F.col("hv").alias("v")))
+def _link_tiles(batches, num: int, den: int):
+    """Batches sorted by tile, tile after tile; only the rows of one tile are held."""
+    held: list[pa.RecordBatch] = []
 
-    # size-ordered blocks of large groups; pairs of blocks are tiles
-    grouped = grouped.toDF("doc_id", "grp").join(sized.select("doc_id", F.col("n_shingles").alias("n")).distinct(), "doc_id")
+    def done():
+        table = pa.Table.from_batches(held)
+        held.clear()
+        return _link_tile(table, num, den).to_batches()
+
+    for batch in batches:
+        tile = batch.column("tile").to_numpy()
+        edges = [0, *(np.flatnonzero(tile[1:] != tile[:-1]) + 1).tolist(), batch.num_rows]
+        for a, b in zip(edges, edges[1:], strict=False):
+            if a == b:
+                continue
+            if held and held[0].column("tile")[0].as_py() != tile[a]:
+                yield from done()
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield from done()
+
+
+def linked(tiles: DataFrame, num: int, den: int, parts: int) -> DataFrame:
+    """Spanning links (u, v) of all tiles; tiles have a bounded size, so dealing them by name is even."""
+    dealt = tiles.repartition(parts, "tile").sortWithinPartitions("tile")
+    return dealt.mapInArrow(lambda b: _link_tiles(b, num, den), "u long, v long")
+
+
+def tiled(grouped: DataFrame, num: int, den: int) -> DataFrame:
+    """(grp, doc_id, n) with `tile`, the names of all tiles a document is in: one for a group of at
+    most one block; else its size band is cut into blocks, and it meets all blocks of its own band
+    and of the two next to it."""
     step = max(math.log(den / num), 0.01) * 1.001  # a little wider: sizes that can link are at most one band apart
-    band = F.floor(F.log(F.col("n").cast("double")) / step).cast("long")
-    per_band = grouped.groupBy("grp", band.alias("band")).agg(F.count("*").alias("rows"), F.sum("n").alias("total"))
+    grouped = grouped.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / step).cast("long"))
+    per_band = grouped.groupBy("grp", "band").agg(F.count("*").alias("rows"), F.sum("n").alias("total"))
     whole = per_band.groupBy("grp").agg(F.sum("rows").alias("g_rows"), F.sum("total").alias("g_total"))
+    large = whole.where((F.col("g_rows") > BLOCK_ROWS) | (F.col("g_total") > BLOCK_SHINGLES)).select("grp")
     cut = F.greatest(F.ceil(F.col("rows") / BLOCK_ROWS), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("long")
-    plan = per_band.join(whole, "grp").select("grp", "band", ((F.col("g_rows") <= BLOCK_ROWS) & (F.col("g_total") <= BLOCK_SHINGLES)).alias("one"), cut.alias("cut"))
-    above = plan.select("grp", (F.col("band") - 1).alias("band"), F.col("cut").alias("cut_up"))
-    below = plan.select("grp", (F.col("band") + 1).alias("band"), F.col("cut").alias("cut_down"))
-    plan = plan.join(above, ["grp", "band"], "left").join(below, ["grp", "band"], "left").na.fill(0, ["cut_up", "cut_down"])
-    placed = grouped.withColumn("band", band).join(plan, ["grp", "band"]).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("cut")))
+    plan = per_band.join(large, "grp").select("grp", "band", cut.alias("cut"))
+    up = plan.select("grp", (F.col("band") - 1).alias("band"), F.col("cut").alias("cut_up"))
+    down = plan.select("grp", (F.col("band") + 1).alias("band"), F.col("cut").alias("cut_down"))
+    plan = plan.join(up, ["grp", "band"], "left").join(down, ["grp", "band"], "left").na.fill(0, ["cut_up", "cut_down"])
+    placed = grouped.join(plan, ["grp", "band"], "left").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("cut")))
     name = lambda band, i, band2, j: F.xxhash64("grp", band, i, band2, j)
     none = F.array().cast("array<bigint>")
     up_to = lambda c: F.when(F.col(c) > 0, F.sequence(F.lit(0).cast("long"), F.col(c) - 1)).otherwise(none)
     within = F.transform(up_to("cut"), lambda j: name(F.col("band"), F.least(j, F.col("block")), F.col("band"), F.greatest(j, F.col("block"))))
     with_up = F.transform(up_to("cut_up"), lambda j: name(F.col("band"), F.col("block"), F.col("band") + 1, j))
     with_down = F.transform(up_to("cut_down"), lambda j: name(F.col("band") - 1, j, F.col("band"), F.col("block")))
-    tiles = F.when(F.col("one"), F.array(F.xxhash64("grp"))).otherwise(F.concat(within, with_up, with_down))
-    placed = placed.select("doc_id", tiles.alias("tile"))
-    once = known.join(placed, "doc_id")
+    tiles = F.when(F.col("cut").isNull(), F.array(F.xxhash64("grp"))).otherwise(F.concat(within, with_up, with_down))
+    return placed.select("grp", "doc_id", "n", tiles.alias("tile"))
+
+
+def jaccard_components(docs: DataFrame, n: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id): linked are sets of n-word shingles whose Jaccard
+    similarity is at least the threshold (a fraction with a small denominator)."""
+    t = Fraction(threshold).limit_denominator(1000)
+    num, den = t.numerator, t.denominator
+    spark = docs.sparkSession
+    buckets = n_partitions(spark)
+    texts = id_and_text(docs, id_col, text_col)
+    known = texts.where("doc_id is not null")
 
+    sized = checkpointed(texts.mapInArrow(lambda b: _classes(b, n), "doc_id long, n_shingles long, f1 long, f2 long, bits binary"))
+    filled = sized.where("doc_id is not null and n_shingles > 0")
+    heads = filled.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("head"))
+    member = checkpointed(filled.join(heads, ["f1", "f2", "n_shingles"]).select("doc_id", "head").distinct())
+
+    blobs = known.mapInArrow(lambda b: _keys(b, n, num, den, buckets), "bucket int, keys binary, docs binary, owner binary, hot binary, rows binary")
+    met = checkpointed(blobs.groupBy("bucket").applyInArrow(_meet, "u long, v long, key long"))
+    to_head = member.where("doc_id <> head")
+    head = lambda df, c: df.join(to_head.toDF(c, "h"), c, "left").withColumn(c, F.coalesce("h", c)).drop("h")
+    signed = sized.where("doc_id is not null and n_shingles > 0").select("doc_id", F.col("n_shingles").alias("n"), "bits").dropDuplicates(["doc_id"])
+
+    # small buckets: pairs that the bitmaps' bound allows
+    pairs = head(head(met.where("key is null").select("u", "v").distinct(), "u"), "v").where("u <> v").distinct()
+    pairs = pairs.join(signed.toDF("u", "nu", "bu"), "u").join(signed.toDF("v", "nv", "bv"), "v")
+    may_link = pairs.mapInArrow(lambda b: _allowed(b, num, den), "u long, v long")
+    # large buckets: tiles of bitmaps
+    shared = head(met.where("key is not null").select(F.col("u").alias("doc_id"), F.col("key").alias("grp")), "doc_id").distinct()
+    shared = tiled(shared.join(signed.select("doc_id", "n"), "doc_id"), num, den)
+    shared = shared.select(F.explode("tile").alias("tile"), "doc_id").join(signed, "doc_id")
+    in_tiles = linked(shared, num, den, buckets)
+    grouped = connected_components(may_link.unionByName(in_tiles))
+
+    # groups: tiles of bitmaps and whole sets
+    grouped = grouped.toDF("doc_id", "grp").join(signed.select("doc_id", "n"), "doc_id")
+    grouped = checkpointed(grouped)
+    once = only_listed(known, grouped.select("doc_id")).join(tiled(grouped, num, den).select("doc_id", "tile"), "doc_id")
     sets = once.mapInArrow(lambda b: _sets(b, n), "tile array<long>, doc_id long, n long, bits binary, hashes binary")
-    links = sets.withColumn("tile", F.explode("tile")).groupBy("tile").applyInArrow(lambda g: _link_tile(g, num, den), "u long, v long")
+    links = linked(sets.withColumn("tile", F.explode("tile")), num, den, buckets)
     found = connected_components(links)
 
     per_head = member.join(found.toDF("head", "component"), "head", "left").select("doc_id", F.coalesce("component", "head").alias("component")).groupBy("doc_id").agg(F.min("component").alias("component"))

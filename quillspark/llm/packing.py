@@ -20,8 +20,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .bpe import Encoder, _loaded, slices, vocabulary_of
-from .common import id_and_text
+from .bpe import Encoder, _loaded, vocabulary_of
+from .common import id_and_text, only, slices
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 

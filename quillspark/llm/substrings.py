@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, WordHashes, id_and_text, n_partitions, pack_sorted, unpack_sorted, windows
+from .common import U64, WordHashes, id_and_text, n_partitions, only, pack_sorted, remembers, unpack_sorted, windows
 from .order import with_blocks
 
 _HASHES = WordHashes()

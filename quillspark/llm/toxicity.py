@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_of_id, id_and_text
+from .common import crc_of_id, id_and_text, only
 from .sampling import labelled_sample, sampled_texts
 
 #: The most labelled rows that lexicon and weights are learned from, and the most entries.
@@ -34,7 +34,7 @@ SAMPLE_ROWS, ENTRIES = 8_000, 400
 LEAST_DOCS, LEAST_G, PURITY = 5, 22.0, 0.9
 STEM, LONGEST, FUZZY = 4, 14, 6
 WINDOW = 8
-CACHE = 400_000
+CACHE = 200_000
 _WORD = re.compile(r"\w+")
 # Words that report speech, and words that aim at a reader, in four languages.
 REPORTING = frozenset("said says wrote quote quoted quotes reported called word term sagte schrieb zitat wort dit écrit mot cité dijo escribió palabra cita".split())
