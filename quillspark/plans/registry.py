@@ -516,7 +516,7 @@ def svd_vectors(spark, sf_dir):
 
 @query()
 def hdbscan_clusters(spark, sf_dir):
-    """Density clusters of each nation's customers; a batch is a nation."""
+    """Density clusters of the suppliers, as one batch, by balance and nation."""
     c = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("doc_id"), F.array(F.col("s_acctbal").cast("double") / 1000, F.col("s_nationkey").cast("double")).alias("vector"))
     return similarity.clustered(c)
 
