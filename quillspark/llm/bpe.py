@@ -344,6 +344,7 @@ def runs(values: pa.LargeBinaryArray, ends) -> list[bytes]:
 
 
 _loaded: dict = {}
+remembers("bpe", _loaded.clear)
 
 
 def vocabulary_of(data: bytes) -> Vocabulary:
@@ -398,6 +399,7 @@ def encoded(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_c
     shared = spark.sparkContext.broadcast(data)  # the vocabulary file, of fixed size
 
     def run(batches):
+        only("bpe")
         if (key := ("encoder", name)) not in _loaded:
             _loaded[key] = Encoder(vocabulary_of(shared.value), mapped(name))
         e = _loaded[key]

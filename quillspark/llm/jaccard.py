@@ -43,7 +43,7 @@ RATIO = 1.25
 #: The fewest bits of a bitmap; larger sets have a power of two of at least six tenths of their size.
 BITS = 64
 #: Documents and shingles in one block of a group that is cut into tiles.
-BLOCK_ROWS, BLOCK_SHINGLES = 2048, 4_000_000
+BLOCK_ROWS, BLOCK_SHINGLES = 2048, 1_000_000
 #: Sets of a bucket of which all pairs are tried.
 SMALL = 16
 #: Sets of a tile of which all bitmaps are compared at once.
@@ -51,6 +51,7 @@ FEW = 128
 #: High bits of a tile key that are sent; a chance meeting only makes a candidate.
 KEY_BITS = 48
 _HASHES = WordHashes()
+remembers("jaccard", _HASHES.clear)
 
 
 def shingles(text: bytes, n: int) -> np.ndarray:
@@ -155,6 +156,7 @@ def _texts(batch: pa.RecordBatch, name: str = "text"):
 
 
 def _classes(batches, n):
+    only("jaccard")
     for batch in batches:
         size, a, b, bits = [], [], [], []
         for t in _texts(batch):
@@ -188,6 +190,7 @@ _BLOB = (("bucket", pa.int32()), ("keys", pa.binary()), ("docs", pa.binary()), (
 def _keys(batches, n, num, den, buckets):
     """Blobs (bucket, sorted keys, documents and which of them owns each key, hot keys) and, apart,
     the entries of keys that are hot in this batch."""
+    only("jaccard")
     for batch in slices(batches, 8_000_000):
         ids = batch.column("doc_id").to_numpy()
         seen, keys, owner = set(), [], []
@@ -224,6 +227,7 @@ def _keys(batches, n, num, den, buckets):
 
 def _meet(table: pa.Table) -> pa.Table:
     """Of the blobs of a bucket: candidate pairs (u, v), and entries (u, key) of large buckets."""
+    only()
     keys, ids, hot, apart = [np.empty(0, U64)], [np.empty(0, np.int64)], [np.empty(0, U64)], [np.empty((0, 2), np.int64)]
     for k, docs, owner, h, rows in zip(*(table.column(c).to_pylist() for c in ("keys", "docs", "owner", "hot", "rows")), strict=True):
         if rows is None:
@@ -247,6 +251,7 @@ def _meet(table: pa.Table) -> pa.Table:
 
 
 def _sets(batches, n):
+    only("jaccard")
     for batch in batches:
         s = [shingles(t, n) for t in _texts(batch)]
         yield pa.RecordBatch.from_arrays([batch.column("tile"), batch.column("doc_id"), pa.array([len(x) for x in s], pa.int64()), pa.array([bitmap(x).tobytes() for x in s], pa.binary()), pa.array([x.tobytes() for x in s], pa.binary())], names=["tile", "doc_id", "n", "bits", "hashes"])
@@ -320,6 +325,7 @@ def _link_tile(table: pa.Table, num: int, den: int) -> pa.Table:
 
 def _allowed(batches, num: int, den: int):
     """The pairs whose bitmaps allow the overlap that a link needs."""
+    only()
     for batch in batches:
         n = batch.num_rows
         size = [batch.column(c).to_numpy() for c in ("nu", "nv")]
@@ -331,6 +337,7 @@ def _allowed(batches, num: int, den: int):
 
 def _link_tiles(batches, num: int, den: int):
     """Batches sorted by tile, tile after tile; only the rows of one tile are held."""
+    only()
     held: list[pa.RecordBatch] = []
 
     def done():

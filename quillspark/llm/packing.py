@@ -78,6 +78,7 @@ class SumOfSquares:
 
 
 def _pack(batches, encoder_of, size: int, end: bytes):
+    only("bpe")
     encoder, packer = encoder_of(), SumOfSquares(size)
     number = TaskContext.get().partitionId() << 33 if TaskContext.get() else 0
     rows: list[tuple] = []

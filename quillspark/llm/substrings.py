@@ -30,6 +30,7 @@ from .common import U64, WordHashes, id_and_text, n_partitions, only, pack_sorte
 from .order import with_blocks
 
 _HASHES = WordHashes()
+remembers("substrings", _HASHES.clear)
 #: Bits of a probe. A chance meeting only makes a window a candidate; windows are decided by 64 bits.
 PROBE_BITS = 40
 
@@ -38,6 +39,7 @@ class _Block:
     """The documents of one block in order, as one run of word hashes."""
 
     def __init__(self, table: pa.Table, n: int):
+        only("substrings")
         ids = table.column("doc_id").to_pylist()
         texts = table.column("text").cast(pa.binary()).to_pylist()
         order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0, texts[i]))

@@ -245,6 +245,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, held_out=None, label: st
     entries, weights = train(docs, labels, held, label, id_col=id_col, text_col=text_col)
 
     def run(batches):
+        only()
         matcher = Matcher(entries)
         for batch in batches:
             x = np.array([features_of(t, matcher) for t in batch.column("text").to_pylist()]).reshape(batch.num_rows, 6)
