@@ -17,6 +17,25 @@ from quillspark.llm import exact, jaccard, packing, substrings, toxicity
 from quillspark.llm.common import checkpointed, read_table
 
 
+#: Names of columns that only live within a stage.
+SHARED, SHA, ROW, NO_TEXT, ID = "_shared", "_sha", "_row", "_no_text", "_id"
+#: As many shared ids are sent to all tasks.
+MANY = 10_000
+
+
+def _shared_ids(docs: DataFrame) -> DataFrame | None:
+    """(doc_id) that several rows have, null included; None where there are none."""
+    found = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    n = len(found.take(MANY + 1))
+    return None if not n else F.broadcast(found) if n <= MANY else found
+
+
+def _marked(docs: DataFrame, shared: DataFrame) -> DataFrame:
+    """docs and whether a row's doc_id is that of others too."""
+    ids = shared.select(F.col("doc_id").alias(ID), F.lit(True).alias(SHARED))
+    return docs.join(ids, docs["doc_id"].eqNullSafe(ids[ID]), "left").drop(ID).withColumn(SHARED, F.coalesce(SHARED, F.lit(False)))
+
+
 def _decided(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     return docs.join(ids.select("doc_id").distinct(), "doc_id", how).select(*docs.columns)
 
@@ -28,9 +47,14 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents with equal texts the one with the largest doc_id stays."""
+    """Of documents with equal texts the one with the largest doc_id stays, and one row of it."""
     found = exact.exact_duplicates(docs)
-    return _decided(docs, found.where("NOT kept AND doc_id IS NOT NULL"), "left_anti")
+    out = _decided(docs, found.where("NOT kept AND doc_id IS NOT NULL"), "left_anti")
+    shared = _shared_ids(docs)
+    if shared is None:
+        return out
+    out = _marked(out, shared).withColumn(SHA, F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
+    return out.where(~F.col(SHARED)).unionByName(out.where(SHARED).dropDuplicates(["doc_id", SHA])).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,11 +67,15 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words covered by a window of 20 words that starts earlier as well leave the text; texts
     without such words stay as they are.  No document is dropped."""
-    kept = substrings.remove_repeats(docs, window=20, with_text=True).where("kept_text IS NOT NULL AND doc_id IS NOT NULL")
-    kept = kept.groupBy("doc_id").agg(F.min("kept_text").alias("kept_text"))
-    text = F.coalesce("kept_text", "text")
-    out = docs.join(kept, "doc_id", "left").withColumn("text", text)
-    return out.withColumn("n_chars", F.when(F.col("kept_text").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))).select(*docs.columns)
+    others = [F.col(c) for c in docs.columns if c != "text"]
+    rows = docs.select("doc_id", "text", F.struct(*others, F.col("text").isNull().alias(NO_TEXT)).alias(ROW))
+    out = substrings.remove_repeats(rows, window=20, with_text=True, carry=ROW)
+    cut, own = F.col("kept_text").isNotNull(), F.col(ROW)
+    new = {
+        "text": F.when(cut, F.col("kept_text")).when(~own[NO_TEXT], F.col("text")),
+        "n_chars": F.when(cut, F.length("kept_text").cast(docs.schema["n_chars"].dataType)).otherwise(own["n_chars"]),
+    }
+    return out.select(*[(new[c] if c in new else own[c]).alias(c) for c in docs.columns])
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

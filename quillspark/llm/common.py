@@ -33,10 +33,10 @@ def exact_columns(df: DataFrame, *names: str) -> DataFrame:
     return plain.select(*[F.col(f"c{i}").alias(n) for i, n in zip(places, names, strict=True)])
 
 
-def id_and_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id long, text string) with null texts as empty."""
-    two = exact_columns(df, id_col, text_col).toDF("doc_id", "text")
-    return two.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+def id_and_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more: str) -> DataFrame:
+    """(doc_id long, text string) with null texts as empty, and the columns of `more` as they are."""
+    some = exact_columns(df, id_col, text_col, *more).toDF("doc_id", "text", *more)
+    return some.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *more)
 
 
 def n_partitions(spark: SparkSession) -> int:

@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructType
 
 from .common import U64, WordHashes, id_and_text, n_partitions, only, pack_sorted, remembers, unpack_sorted, windows
 from .order import with_blocks
@@ -42,7 +43,7 @@ class _Block:
         only("substrings")
         ids = table.column("doc_id").to_pylist()
         texts = table.column("text").cast(pa.binary()).to_pylist()
-        order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0, texts[i]))
+        self.order = order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0, texts[i]))
         self.ids, self.words = [ids[i] for i in order], [texts[i].split() for i in order]
         self.sizes = np.array([len(w) for w in self.words], np.int64)
         self.start = np.concatenate([[0], np.cumsum(self.sizes)])
@@ -185,10 +186,11 @@ def _removed(table: pa.Table, answers: pa.Table, n: int, b: int, buckets: int):
     return block, np.cumsum(covered[:-1]) > 0
 
 
-def _kept(table: pa.Table, answers: pa.Table, n: int, b: int, buckets: int, with_text: bool) -> pa.Table:
-    ids, words, removed, sha, texts = [], [], [], [], []
+def _kept(table: pa.Table, answers: pa.Table, n: int, b: int, buckets: int, with_text: bool, carry: tuple[str, ...]) -> pa.Table:
+    ids, words, removed, sha, texts, order = [], [], [], [], [], []
     if table.num_rows:
         block, gone = _removed(table, answers, n, b, buckets)
+        order = block.order
         for i, w in enumerate(block.words):
             g = gone[block.start[i]:block.start[i + 1]]
             k = int(g.sum())
@@ -199,14 +201,17 @@ def _kept(table: pa.Table, answers: pa.Table, n: int, b: int, buckets: int, with
             sha.append(hashlib.sha256(text).hexdigest())
             texts.append(text.decode("utf-8", "replace") if with_text and k else None)
     out = {"doc_id": pa.array(ids, pa.int64()), "n_words": pa.array(words, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_sha256": pa.array(sha, pa.string())}
-    return pa.table(out | ({"kept_text": pa.array(texts, pa.string())} if with_text else {}))
+    own = {c: table.column(c).take(pa.array(order, pa.int64())) for c in carry}
+    return pa.table(out | ({"kept_text": pa.array(texts, pa.string())} if with_text else {}) | own)
 
 
-def remove_repeats(docs: DataFrame, window: int = 20, with_text: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 20, with_text: bool = False, id_col: str = "doc_id", text_col: str = "text", carry: str | None = None) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) and, with_text, kept_text: the remaining words
-    joined by one space, null where nothing was removed."""
+    joined by one space, null where nothing was removed.  With the name of a further column, each
+    row also brings its own text and that column, as a doc_id alone may not tell rows apart."""
     buckets, b = n_partitions(docs.sparkSession), (window + 1) // 2
-    texts = id_and_text(docs, id_col, text_col)
+    more = () if carry is None else (carry,)
+    texts = id_and_text(docs, id_col, text_col, *more)
     texts = with_blocks(texts, 2 * buckets).repartition(buckets, "block")
 
     sent = texts.groupBy("block").applyInArrow(lambda t: _send_probes(t, window, b, buckets), _SENT)
@@ -215,5 +220,9 @@ def remove_repeats(docs: DataFrame, window: int = 20, with_text: bool = False, i
     sent = by_block.cogroup(hits.groupBy("block")).applyInArrow(lambda t, a: _send_windows(t, a, window, b, buckets), "bucket int, block long, vals binary")
     again = sent.groupBy("bucket").applyInArrow(_answer_windows, _ANSWER)
     answers = hits.withColumn("kind", F.lit(0)).unionByName(again.withColumn("kind", F.lit(1)))
-    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if with_text else "")
-    return by_block.cogroup(answers.groupBy("block")).applyInArrow(lambda t, a: _kept(t, a, window, b, buckets, with_text), schema)
+    schema = StructType().add("doc_id", LongType()).add("n_words", LongType()).add("n_removed", LongType()).add("kept_sha256", StringType())
+    schema = schema.add("kept_text", StringType()) if with_text else schema
+    own = ("text", *more) if more else ()
+    for c in own:
+        schema = schema.add(c, texts.schema[c].dataType)
+    return by_block.cogroup(answers.groupBy("block")).applyInArrow(lambda t, a: _kept(t, a, window, b, buckets, with_text, own), schema)
