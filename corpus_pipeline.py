@@ -1,8 +1,8 @@
 """A corpus pipeline of five stages over `documents`; part of the subpackage quillspark.llm.
 
 Each stage reads what its predecessor kept, as Parquet, and hands on the columns of documents;
-the last one returns packed pieces.  Filtering stages decide by rows, so that rows with equal
-doc_ids share one decision.
+the last one returns packed pieces.  Each row gets its own decision: rows that share a doc_id
+with others, or have none, are told apart by their texts, and of rows equal in both one stays.
 """
 
 from __future__ import annotations
@@ -18,7 +18,9 @@ from quillspark.llm.common import checkpointed, read_table
 
 
 #: Names of columns that only live within a stage.
-SHARED, SHA, ROW, NO_TEXT, ID = "_shared", "_sha", "_row", "_no_text", "_id"
+SHARED, SHA, ROW, NO_TEXT, ID, LOST = "_shared", "_sha", "_row", "_no_text", "_id", "_lost"
+#: Keys from here on are not doc_ids but hashes of row contents.
+OWN = 2**62
 #: As many shared ids are sent to all tasks.
 MANY = 10_000
 
@@ -32,36 +34,44 @@ def _shared_ids(docs: DataFrame) -> DataFrame | None:
 
 def _marked(docs: DataFrame, shared: DataFrame) -> DataFrame:
     """docs and whether a row's doc_id is that of others too."""
-    ids = shared.select(F.col("doc_id").alias(ID), F.lit(True).alias(SHARED))
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids[ID]), "left").drop(ID).withColumn(SHARED, F.coalesce(SHARED, F.lit(False)))
+    ids = shared.select(F.col("doc_id").alias(LOST), F.lit(True).alias(SHARED))
+    return docs.join(ids, docs["doc_id"].eqNullSafe(ids[LOST]), "left").drop(LOST).withColumn(SHARED, F.coalesce(SHARED, F.lit(False)))
 
 
-def _decided(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    return docs.join(ids.select("doc_id").distinct(), "doc_id", how).select(*docs.columns)
+def _one_each(docs: DataFrame, shared: DataFrame | None, key: str) -> DataFrame:
+    """docs with one of the rows that are equal in doc_id and key; only shared ids have such rows."""
+    if shared is None:
+        return docs
+    rows = _marked(docs, shared)
+    return rows.where(~F.col(SHARED)).unionByName(rows.where(SHARED).dropDuplicates(["doc_id", key])).drop(SHARED)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is 0.5 or more go."""
-    scores = toxicity.toxicity_scores(docs, read_table(spark, sf_dir, "labels"))
-    return _decided(docs, scores.where("predicted = 1 AND doc_id IS NOT NULL"), "left_anti")
+    return toxicity.without_toxic(docs, read_table(spark, sf_dir, "labels"))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents with equal texts the one with the largest doc_id stays, and one row of it."""
     found = exact.exact_duplicates(docs)
-    out = _decided(docs, found.where("NOT kept AND doc_id IS NOT NULL"), "left_anti")
-    shared = _shared_ids(docs)
-    if shared is None:
-        return out
-    out = _marked(out, shared).withColumn(SHA, F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
-    return out.where(~F.col(SHARED)).unionByName(out.where(SHARED).dropDuplicates(["doc_id", SHA])).select(*docs.columns)
+    lost = found.where(~F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(F.col("doc_id").alias(ID), F.col("text_sha256").alias(LOST)).distinct()
+    rows = docs.withColumn(SHA, F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
+    out = rows.join(lost, rows["doc_id"].eqNullSafe(lost[ID]) & (rows[SHA] == lost[LOST]), "left_anti")
+    return _one_each(out, _shared_ids(docs), SHA).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by five-word shingles at a similarity of 0.8 or more, the one whose
-    doc_id names the component stays."""
-    found = jaccard.jaccard_components(docs, n=5, threshold=0.8)
-    return _decided(docs, found.where("doc_id <> component_id"), "left_anti")
+    doc_id names the component stays.  Rows of a shared, missing or very large id count as
+    documents of their own, later than all others."""
+    shared = _shared_ids(docs)
+    marked = docs.withColumn(SHARED, F.lit(False)) if shared is None else _marked(docs, shared)
+    own = F.col(SHARED) | F.col("doc_id").isNull() | ~F.col("doc_id").between(0, OWN - 1)
+    of_text = F.xxhash64("doc_id", "text").bitwiseAND(F.lit(OWN - 1)) + F.lit(OWN)
+    rows = marked.withColumn(ID, F.when(own, of_text).otherwise(F.col("doc_id").cast("long")))
+    found = jaccard.jaccard_components(rows, n=5, threshold=0.8, id_col=ID)
+    lost = found.where("doc_id <> component_id").select(F.col("doc_id").alias(ID)).distinct()
+    return _one_each(rows.drop(SHARED).join(lost, ID, "left_anti"), shared, ID).select(*docs.columns)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

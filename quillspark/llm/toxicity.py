@@ -239,6 +239,27 @@ def train(docs: DataFrame, labels: DataFrame, held_out, label: str = "toxic", ro
     return entries, fit(np.array([r.x for r in got]), np.array([r.label for r in got], float))
 
 
+def _scores(texts: list, matcher: Matcher, weights: np.ndarray) -> np.ndarray:
+    x = np.array([features_of(t, matcher) for t in texts]).reshape(len(texts), 6)
+    return 1 / (1 + np.exp(-np.clip(weights[0] + x @ weights[1:], -30, 30)))
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, held_out=None, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, whole and each by its own text, that toxicity_scores does not predict toxic."""
+    held = held_out if held_out is not None else F.pmod(crc_of_id(), F.lit(5)) == 0
+    entries, weights = train(docs, labels, held, label, id_col=id_col, text_col=text_col)
+    place = docs.columns.index(text_col)
+
+    def run(batches):
+        only()
+        matcher = Matcher(entries)
+        for batch in batches:
+            s = _scores([t or "" for t in batch.column(place).to_pylist()], matcher, weights)
+            yield batch.filter(pa.array(s < 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def toxicity_scores(docs: DataFrame, labels: DataFrame, held_out=None, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, score, predicted)."""
     held = held_out if held_out is not None else F.pmod(crc_of_id(), F.lit(5)) == 0
@@ -248,8 +269,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, held_out=None, label: st
         only()
         matcher = Matcher(entries)
         for batch in batches:
-            x = np.array([features_of(t, matcher) for t in batch.column("text").to_pylist()]).reshape(batch.num_rows, 6)
-            s = 1 / (1 + np.exp(-np.clip(weights[0] + x @ weights[1:], -30, 30)))
+            s = _scores(batch.column("text").to_pylist(), matcher, weights)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     texts = id_and_text(docs, id_col, text_col).withColumn("held_out", held)

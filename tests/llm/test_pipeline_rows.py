@@ -8,6 +8,8 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
+from quillspark.llm import toxicity
+
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -51,3 +53,26 @@ def test_passages_row_by_row(spark, stage):
     assert out.columns == docs.columns
     assert rows_of(out) == Counter([(3, a), (3, ""), (5, b), (5, "short"), (6, None), (7, "")])
     assert {(r.doc_id, r.text): r.n_chars for r in out.collect()} == {(3, a): len(a), (3, ""): 0, (5, b): len(b), (5, "short"): 5, (6, None): None, (7, ""): 0}
+
+
+def test_rows_of_one_id_are_decided_apart(spark, stage):
+    a, b, c = prose(5), prose(6), prose(7)
+    near = b.replace(b.split()[30], "other", 1)
+    rows = [(5, a), (9, a), (5, b), (None, c), (2, c), (None, "lone words"), (None, None)]
+    assert rows_of(stage["exact_dedup"](spark, table(spark, rows), SF)) == Counter([(9, a), (5, b), (2, c), (None, "lone words"), (None, None)])
+    rows = [(5, a), (5, b), (8, near), (None, near + " more"), (None, c), (-4, "x"), (2**62 + 9, "y")]
+    got = rows_of(stage["ngram_jaccard_join"](spark, table(spark, rows), SF))
+    assert got == Counter([(5, a), (8, near), (None, c), (-4, "x"), (2**62 + 9, "y")])
+    rows = [(5, a), (5, b), (9, f"{b} end"), (None, a)]
+    assert rows_of(stage["substring_dedup"](spark, table(spark, rows), SF)) == Counter([(5, a), (5, b), (9, "end"), (None, "")])
+
+
+def test_toxic_rows_go_alone(spark, stage):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    scored = toxicity.toxicity_scores(docs, labels).join(docs.select("doc_id", "text"), "doc_id")
+    bad, good = (scored.where(f"predicted = {k}").orderBy("doc_id").first().text for k in (1, 0))
+    extra = table(spark, [(10**9, bad), (10**9, good), (None, bad), (None, good), (None, None)])
+    out = stage["toxicity"](spark, docs.unionByName(extra.select([extra[f.name].cast(f.dataType) for f in docs.schema])), sf)
+    new = rows_of(out.where(f"doc_id IS NULL OR doc_id = {10**9}"))
+    assert new == Counter([(10**9, good), (None, good), (None, None)]) and out.columns == docs.columns
