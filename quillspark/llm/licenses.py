@@ -1,7 +1,7 @@
 """License scans: an exact set-similarity join of text blocks with license templates.
 
-A template is the set of words of a notice, a block is the set of words of a line.  A block
-matches when it holds at least the threshold's share of the template's words.  Words are
+A template is the set of words of a notice, a block is the set of words of a line, or of a run of
+SPAN times the notice's words across line breaks, so that wrapped notices are found.  A block matches when it holds at least the threshold's share of the template's words.  Words are
 ordered by their document frequency over all documents, rarest first; a block that matches must
 hold one of the first size - need + 1 words of the template (prefix filter), must be large
 enough (length filter), and the place of its first common word bounds what can follow
@@ -9,7 +9,8 @@ enough (length filter), and the place of its first common word bounds what can f
 where their words stand consecutively.
 
 Only DataFrame functions run.  The template table is a constant; blocks are only made of
-documents with a prefix word, and equal blocks of a document are joined once.
+documents with a prefix word, and equal blocks of a document are joined once.  Runs of words are
+only tried for a template of which the whole document holds enough words, and begin at its words.
 
 Defined results: null or empty text has no words, no labels and score 0.  A line's words are
 runs of 0-9, a-z (A-Z lower-cased) and characters beyond ASCII.  Rows that share a doc_id share
@@ -40,6 +41,8 @@ TEMPLATES = (
     ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0"),
 )
 THRESHOLD = 0.8
+#: Words of a run, in lengths of the notice: texts hold words that the notice has not.
+SPAN = 2
 WORD_GAP = "[\\x00-/:-`{-\\x7F]+"
 
 
@@ -67,7 +70,7 @@ def _needs(n: int, threshold: float) -> int:
 
 def license_scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score); the score is the
-    largest share of a template found in a line, 1 with a base phrase."""
+    largest share of a template found in a block, 1 with a base phrase."""
     spark = docs.sparkSession
     # made by a generator, so that the optimiser does not repeat it in every expression that uses it
     texts = id_and_text(docs, id_col, text_col).select("doc_id", "text", F.explode(F.array(plain_words(F.col("text")))).alias("plain"))
@@ -95,7 +98,16 @@ def license_scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESH
     met = probes.join(F.broadcast(prefix), "word")
     met = met.where((F.size("block") >= F.col("need")) & (F.col("size") - F.col("place") >= F.col("need")))
     common = F.size(F.array_intersect("block", "notice"))
-    found = met.withColumn("common", common).where(F.col("common") >= F.col("need"))
+    by_line = met.withColumn("common", common).where(F.col("common") >= F.col("need")).select("doc_id", "label", "common", "size")
+
+    # runs of words across line breaks; a run that matches can begin at a word of the template
+    span = {label: SPAN * len(notice.split()) for label, notice in templates}
+    plans = F.array(*[F.struct(F.lit(label).alias("label"), F.lit(len(s)).alias("size"), F.lit(_needs(len(s), threshold)).alias("need"), F.lit(span[label]).alias("span"), literal(s).alias("notice")) for label, s in words.items()])
+    whole = some.where(F.contains("text", F.lit("\n"))).select("doc_id", F.split("plain", " ").alias("words")).withColumn("known", F.array_intersect("words", literal(every)))
+    tried = whole.select("doc_id", "words", F.explode(F.filter(plans, lambda t: F.size(F.array_intersect("known", t.notice)) >= t.need)).alias("t")).select("doc_id", "words", "t.*")
+    held = F.transform("words", lambda w, i: F.when(F.array_contains("notice", w), F.size(F.array_intersect(F.slice("words", i + 1, F.col("span")), "notice"))).otherwise(0))
+    by_run = tried.withColumn("common", F.array_max(held)).where(F.col("common") >= F.col("need")).select("doc_id", "label", "common", "size")
+    found = by_line.unionByName(by_run)
     found = found.groupBy("doc_id").agg(F.collect_set("label").alias("found"), F.max(F.col("common") / F.col("size")).alias("share"))
 
     padded = F.concat(F.lit(" "), F.col("plain"), F.lit(" "))
