@@ -1,7 +1,7 @@
 """Batch similarity: term weights, vectors, clusters, neighbours, priors and consistency.
 
 Counts, weights, neighbours, priors and scores are relational.  Two steps work on a batch as a whole,
-as their definition asks: the decomposition (of a Gram matrix over a bounded vocabulary) and the
+as their definition asks: the decomposition (over a bounded vocabulary) and the
 density clustering (bounded by CLUSTER_LIMIT documents, checked before they are gathered).
 """
 
@@ -19,6 +19,8 @@ TOKEN = r"[a-zа-я]{2,}(?:-[a-zа-я]{2,})*"
 STOPWORDS = frozenset("и в во на с со к ко по о об от до за из у для при как что это или а но the of and to in is was for on with as at by an be".split())
 PROTECTED = frozenset("не нет без отсутствует отсутствуют острый острая хронический хроническая not no without".split())
 CLUSTER_LIMIT = 5_000
+#: Terms up to which all of the decomposition is found at once.
+SMALL_GRAM = 512
 
 
 def tokens(text: Column, pattern: str = TOKEN) -> Column:
@@ -80,48 +82,96 @@ def cluster_top_terms(weights: DataFrame, clusters: DataFrame, top: int = 20) ->
     return mean.withColumn("rank", rank).where(F.col("rank") <= top).select("cluster", "rank", "term", "mean_w")
 
 
-def svd_vectors(weights: DataFrame, most: int = 30) -> DataFrame:
-    """(doc_id, vector): truncated decomposition through the Gram matrix of the terms, unit length.
-
-    The vocabulary is bounded by tfidf's max_features; the Gram matrix is summed over the cluster and
-    only that matrix is decomposed on the driver.
+def _sums(rows: pd.DataFrame, q: np.ndarray) -> np.ndarray:
+    """A' (A q) of the sparse rows (k, w) of A, a slice of them at a time."""
+    out = np.zeros_like(q)
+    for at in range(0, len(rows), 256):
+        ks, ws = rows["k"].iloc[at:at + 256], rows["w"].iloc[at:at + 256]
+        sizes = np.array([len(k) for k in ks])
+        k, w = np.concatenate(list(ks)), np.concatenate(list(ws))[:, None]
+        along = np.add.reduceat(w * q[k], np.cumsum(sizes) - sizes, axis=0)
+        order = np.argsort(k, kind="stable")
+        terms, first = np.unique(k[order], return_index=True)
+        out[terms] += np.add.reduceat((w * np.repeat(along, sizes, axis=0))[order], first, axis=0)
+    return out
+
+
+def _leading(times, m: int, most: int) -> np.ndarray:
+    """The `most` leading eigenvectors of the m x m matrix behind `times`, by block Lanczos steps with
+    full orthogonalisation until they are exact to a billionth of the largest value; at once for a few terms."""
+    q = np.eye(m) if m <= SMALL_GRAM else np.linalg.qr(np.random.default_rng(42).normal(size=(m, 2 * most)))[0]
+    basis, image = np.empty((m, 0)), np.empty((m, 0))
+    while True:
+        y = times(q)
+        basis, image = np.concatenate([basis, q], 1), np.concatenate([image, y], 1)
+        small = basis.T @ image
+        values, turns = np.linalg.eigh((small + small.T) / 2)
+        values, turns = values[::-1][:most], turns[:, ::-1][:, :most]
+        found = basis @ turns
+        off = np.linalg.norm(image @ turns - found * values, axis=0).max(initial=0.0)
+        room = min(2 * most, m - basis.shape[1])
+        if off <= 1e-9 * values.max(initial=0.0) or room <= 0:
+            return found
+        for _ in range(2):
+            y = y - basis @ (basis.T @ y)
+        q = np.linalg.qr(y)[0][:, :room]
+        q = np.linalg.qr(q - basis @ (basis.T @ q))[0]
+
+
+def svd_vectors(weights: DataFrame, most: int = 30, ids: DataFrame | None = None) -> DataFrame:
+    """(doc_id, vector): truncated decomposition of the documents by terms, unit length.
+
+    The vocabulary is bounded by tfidf's max_features.  The Gram matrix of the terms is never made: its
+    products with a few columns are summed over the cluster, and only those are worked on by the driver.
+    With ids (doc_id) each of them has a vector, of zeros where it has no term.
     """
     terms = [r.term for r in weights.select("term").distinct().orderBy("term").limit(10_001).collect()]
     if len(terms) > 10_000:
         raise ValueError("more terms than a decomposition takes; limit them with max_features")
     index = {t: k for k, t in enumerate(terms)}
     m = len(terms)
-    docs = weights.groupBy("doc_id").agg(F.collect_list(F.struct("term", "w")).alias("terms"))
+    docs = weights.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("term", "w"))).alias("terms"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
-    def gram(batches):
-        total = np.zeros((m, m))
+    def numbered(batches):
         for pdf in batches:
-            for some in pdf["terms"]:
-                k = np.array([index[t["term"]] for t in some])
-                w = np.array([t["w"] for t in some])
-                total[np.ix_(k, k)] += np.outer(w, w)
-        i, j = np.nonzero(total)
-        yield pd.DataFrame({"i": i, "j": j, "x": total[i, j]})
-
-    cells = docs.mapInPandas(gram, "i int, j int, x double").groupBy("i", "j").agg(F.sum("x").alias("x")).toPandas()
-    g = np.zeros((m, m))
-    g[cells["i"], cells["j"]] = cells["x"]
-    n = docs.count()
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "k": [[index[t["term"]] for t in some] for some in pdf["terms"]], "w": [[t["w"] for t in some] for some in pdf["terms"]]})
+
+    rows = docs.mapInPandas(numbered, f"doc_id {kind}, k array<int>, w array<double>").cache()
+
+    def times(q: np.ndarray) -> np.ndarray:
+        def products(batches):
+            total = np.zeros_like(q)
+            for pdf in batches:
+                total += _sums(pdf, q)
+            for at in range(0, m, 512):
+                yield pd.DataFrame({"at": [at], "x": [total[at:at + 512].tobytes()]})
+
+        def added(pdf):
+            return pd.DataFrame({"at": pdf["at"].iloc[:1], "x": [sum(np.frombuffer(x) for x in pdf["x"]).tobytes()]})
+
+        parts = rows.select("k", "w").mapInPandas(products, "at int, x binary").groupBy("at").applyInPandas(added, "at int, x binary").collect()
+        return np.concatenate([np.frombuffer(r.x) for r in sorted(parts, key=lambda r: r["at"])]).reshape(q.shape)
+
+    n = (ids.distinct() if ids is not None else rows).count()
     k = max(2, min(most, n - 1, m - 1))
-    values, vectors = np.linalg.eigh((g + g.T) / 2)
-    basis = vectors[:, ::-1][:, :k]
-    basis = basis * np.where(basis[np.abs(basis).argmax(0), range(basis.shape[1])] < 0, -1, 1)
+    basis = _leading(times, m, k) if m else np.empty((0, k))
+    basis = basis * np.where(basis[np.abs(basis).argmax(0), range(basis.shape[1])] < 0, -1, 1) if m else basis
 
     def project(batches):
         for pdf in batches:
             out = []
-            for some in pdf["terms"]:
-                v = np.array([t["w"] for t in some]) @ basis[[index[t["term"]] for t in some]]
+            for at, w in zip(pdf["k"], pdf["w"], strict=True):
+                v = np.asarray(w) @ basis[at]
                 out.append((v / (np.linalg.norm(v) or 1.0)).tolist())
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "vector": out})
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInPandas(project, f"doc_id {kind}, vector array<double>")
+    out = rows.mapInPandas(project, f"doc_id {kind}, vector array<double>")
+    if ids is None:
+        return out
+    every, own = ids.select("doc_id").distinct(), rows.select(F.col("doc_id").alias("own"))
+    rest = every.join(own, every["doc_id"].eqNullSafe(own["own"]), "left_anti")
+    return out.unionByName(rest.withColumn("vector", F.array_repeat(F.lit(0.0), basis.shape[1])))
 
 
 def density_clusters(x: np.ndarray, min_size: int = 5, min_samples: int = 2) -> tuple[np.ndarray, np.ndarray]:

@@ -507,10 +507,11 @@ def score_adjust(spark, sf_dir):
 
 @query()
 def svd_vectors(spark, sf_dir):
-    """Labels' documents as vectors of the decomposition, rounded."""
-    counts = similarity.term_counts(_lower(spark, sf_dir), ngrams=1, pattern=_TOK)
+    """All documents as vectors of the decomposition, rounded: 10,000 terms of one or two words, 30 dimensions."""
+    texts = _lower(spark, sf_dir)
+    counts = similarity.term_counts(texts, similarity.stopwords(similarity.document_frequency(texts)))
     n = documents(spark, sf_dir).agg(F.count("*").alias("n"))
-    v = similarity.svd_vectors(similarity.tfidf(counts, n, max_features=500), most=10)
+    v = similarity.svd_vectors(similarity.tfidf(counts, n, max_features=10_000), ids=texts.select("doc_id"))
     return v.select("doc_id", F.transform("vector", lambda x: F.round(x, 4)).alias("vector"))
 
 
