@@ -4,8 +4,7 @@ A template is the set of words of a notice, a block is the set of words of a lin
 SPAN times the notice's words across line breaks, so that wrapped notices are found.  A block matches when it holds at least the threshold's share of the template's words.  Words are
 ordered by their document frequency over all documents, rarest first; a block that matches must
 hold one of the first size - need + 1 words of the template (prefix filter), must be large
-enough (length filter), and the place of its first common word bounds what can follow
-(positional filter).  What remains is decided by exact intersection.  Base phrases are places
+enough (length filter); a positional filter would remove nothing more.  What remains is decided by exact intersection.  Base phrases are places
 where their words stand consecutively.
 
 Only DataFrame functions run.  The template table is a constant; blocks are only made of
