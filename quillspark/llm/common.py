@@ -49,7 +49,9 @@ def checkpointed(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint()
+    out = df.checkpoint()
+    sc._jvm.System.gc()  # Spark deletes the shuffles of the lineage that was cut when the driver's memory is cleared
+    return out
 
 
 def mix(x: np.ndarray) -> np.ndarray:
