@@ -44,16 +44,46 @@ def n_partitions(spark: SparkSession) -> int:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the shared folder of spark.checkpoint.dir; a folder of our own
-    is made only where that setting is absent (tests)."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
+    """Cut the lineage through the shared folder of spark.checkpoint.dir."""
+    spark = df.sparkSession
+    shared_folder(spark)
     out = df.checkpoint()
-    sc._jvm.System.gc()  # Spark deletes the shuffles of the lineage that was cut when the driver's memory is cleared
+    spark.sparkContext._jvm.System.gc()  # Spark deletes the shuffles of the lineage that was cut when the driver's memory is cleared
     return out
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir.  Where that setting is absent, a local session (tests)
+    gets a folder of its own; a cluster is refused, as its machines would not share one."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        chosen = sc.getConf().get("spark.checkpoint.dir")
+        if chosen is None and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
+        sc.setCheckpointDir(chosen or tempfile.mkdtemp(prefix="checkpoints-"))
+    return sc.getCheckpointDir()
+
+
+#: A key with fewer rows is never joined apart.
+HEAVY = 256
+
+
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], weight: str, total: int | None = None, how: str = "left") -> DataFrame:
+    """left joined with right, which has one row a key and the number of left's rows with that key
+    as `weight`.  Keys that hold more than a quarter of a task's even share of the total are
+    broadcast, so that their rows stay where they are: as each holds that many, there are at most
+    four a partition.  All others meet by a shuffle."""
+    if total is None:
+        total = right.agg(F.sum(weight)).first()[0] or 0
+    bound = max(HEAVY, total // (4 * n_partitions(left.sparkSession)))
+    if total <= bound:
+        return left.join(right.drop(weight), keys, how)
+    heavy = F.broadcast(right.where(F.col(weight) > bound).drop(weight))
+    light = right.where(F.col(weight) <= bound).drop(weight)
+    rest = left.join(heavy.select(*keys), keys, "left_anti").join(light, keys, how)
+    return left.join(heavy, keys).unionByName(rest)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """splitmix64's finaliser, element by element."""
     x = x ^ (x >> U64(30))

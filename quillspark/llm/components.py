@@ -1,7 +1,7 @@
 """Connected components of an edge table by alternating large-star and small-star rounds.
 
-Each round is a partially aggregated minimum a vertex and an equi-join, so a vertex with
-very many neighbours is pre-aggregated on the map side and its join rows can be split.
+Each round is a partially aggregated minimum a vertex and an equi-join.  The neighbours of a vertex
+are counted with the minimum, and vertices with very many are joined by a broadcast of bounded size.
 Nothing is collected but one row of convergence counters a round.
 """
 
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, spread_join
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -21,18 +21,20 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """
     e = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
     e, before = checkpointed(e), None
-    while True:
+    n = e.count()
+    while n:
         # large-star: every neighbour larger than u hangs on u's smallest neighbour (or u)
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("degree"))
+        large = spread_join(both, low, ["u"], "degree", 2 * n, "inner").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # small-star: u and its smaller neighbours hang on the smallest of them
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.*").where("u <> v")
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("degree"))
+        ends = F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
+        small = spread_join(large, low, ["u"], "degree", 2 * n, "inner").select(F.explode(ends).alias("x")).select("x.*").where("u <> v")
         e = checkpointed(small.distinct())
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break
-        before = now
+        before, n = now, now[0]
     roots = e.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
     return roots.unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

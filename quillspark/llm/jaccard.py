@@ -18,10 +18,15 @@ blocks whose sizes can meet is a tile of bounded size.  Within a tile a document
 joined a component is compared no more, so thousands of near copies cost about one
 comparison a member, and spanning links are all that leaves.
 
+Identity.  What is compared are classes of equal sets, each a numbered node with its smallest
+doc_id; texts come back by that doc_id and count only where their set is the class's own.  Classes
+with a large share of all rows meet those rows by a broadcast of bounded size.
+
 Defined results: null or empty text, or text without words: empty set, linked with nothing
 (component_id is its own doc_id).  Fewer than n words: the whole sequence is one shingle.
-Repeated rows are documents of their own with the same component.  A null doc_id: the row
-is returned with a null component_id and linked with nothing.  An empty table: no rows.
+Rows are documents of their own, also where they share a doc_id: each gets the component of its own
+text, whatever their order, and repeated rows the same one.  A null doc_id: the row is returned
+with a null component_id and linked with nothing.  An empty table: no rows.
 """
 
 from __future__ import annotations
@@ -35,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, WordHashes, checkpointed, id_and_text, mix, n_partitions, only, pack_sorted, remembers, slices, unpack_sorted, windows
+from .common import U64, WordHashes, checkpointed, id_and_text, mix, n_partitions, only, pack_sorted, remembers, slices, spread_join, unpack_sorted, windows
 from .bloom import only_listed
 from .components import connected_components
 
@@ -155,18 +160,22 @@ def _texts(batch: pa.RecordBatch, name: str = "text"):
     return batch.column(name).cast(pa.binary()).to_pylist()
 
 
+#: What tells classes of equal sets apart: two sums of hashes and the size.
+CLASS = ["f1", "f2", "n"]
+
+
+def signature(s: np.ndarray) -> tuple[int, int, int]:
+    """The class of a set, as signed 64-bit numbers."""
+    sums = np.array([mix(s).sum(dtype=U64), mix(s ^ U64(0xA5A5A5A5A5A5A5A5)).sum(dtype=U64)], U64).view(np.int64)
+    return int(sums[0]), int(sums[1]), len(s)
+
+
 def _classes(batches, n):
     only("jaccard")
-    for batch in batches:
-        size, a, b, bits = [], [], [], []
-        for t in _texts(batch):
-            s = shingles(t, n)
-            size.append(len(s))
-            a.append(int(mix(s).sum(dtype=U64)) if len(s) else 0)
-            b.append(int(mix(s ^ U64(0xA5A5A5A5A5A5A5A5)).sum(dtype=U64)) if len(s) else 0)
-            bits.append(bitmap(s).tobytes())
-        signed = [pa.array(np.array(x, U64).view(np.int64)) for x in (a, b)]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size, pa.int64()), *signed, pa.array(bits, pa.binary())], names=["doc_id", "n_shingles", "f1", "f2", "bits"])
+    for batch in slices(batches, 8_000_000):
+        sets = [shingles(t, n) for t in _texts(batch)]
+        signed = [pa.array(x, pa.int64()) for x in zip(*map(signature, sets), strict=True)] if sets else [pa.array([], pa.int64())] * 3
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *signed, pa.array([bitmap(s).tobytes() for s in sets], pa.binary())], names=["doc_id", *CLASS, "bits"])
 
 
 def _split(keys: np.ndarray, ids: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -188,26 +197,24 @@ _BLOB = (("bucket", pa.int32()), ("keys", pa.binary()), ("docs", pa.binary()), (
 
 
 def _keys(batches, n, num, den, buckets):
-    """Blobs (bucket, sorted keys, documents and which of them owns each key, hot keys) and, apart,
-    the entries of keys that are hot in this batch."""
+    """Blobs (bucket, sorted keys, sets, by the first sum of their class, and which of them owns each
+    key, hot keys) and, apart, the entries of keys that are hot in this batch."""
     only("jaccard")
     for batch in slices(batches, 8_000_000):
-        ids = batch.column("doc_id").to_numpy()
-        seen, keys, owner = set(), [], []
-        for i, t in enumerate(_texts(batch)):
+        seen, ids, keys, owner = set(), [], [], []
+        for t in _texts(batch):
             s = shingles(t, n)
-            if not len(s):
-                continue
-            same = s.tobytes() if len(s) < 4 else (len(s), int(mix(s).sum(dtype=U64)), int(s[0]))
-            if same in seen:  # a copy: the classes join it to its representative
+            same = signature(s)
+            if not len(s) or same in seen:  # a copy is of the same class
                 continue
             seen.add(same)
             k = np.unique(tile_keys(s, num, den) >> U64(64 - KEY_BITS))
             keys.append(k)
-            owner.append(np.full(len(k), i))
+            owner.append(np.full(len(k), len(ids)))
+            ids.append(same[0])
         if not keys:
             continue
-        keys, owner = np.concatenate(keys), np.concatenate(owner)
+        ids, keys, owner = np.array(ids, np.int64), np.concatenate(keys), np.concatenate(owner)
         order = np.lexsort((ids[owner], keys))
         keys, owner = keys[order], owner[order]
         _, apart = _split(keys, ids[owner], keys[:0])
@@ -251,10 +258,14 @@ def _meet(table: pa.Table) -> pa.Table:
 
 
 def _sets(batches, n):
+    """Whole sets of the texts whose class is the node's; a doc_id may have other texts too."""
     only("jaccard")
-    for batch in batches:
-        s = [shingles(t, n) for t in _texts(batch)]
-        yield pa.RecordBatch.from_arrays([batch.column("tile"), batch.column("doc_id"), pa.array([len(x) for x in s], pa.int64()), pa.array([bitmap(x).tobytes() for x in s], pa.binary()), pa.array([x.tobytes() for x in s], pa.binary())], names=["tile", "doc_id", "n", "bits", "hashes"])
+    for batch in slices(batches, 8_000_000):
+        sets = [shingles(t, n) for t in _texts(batch)]
+        wanted = zip(*(batch.column(c).to_pylist() for c in CLASS), strict=True)
+        own = [k for k, (s, w) in enumerate(zip(sets, wanted, strict=True)) if signature(s) == w]
+        some = batch.take(pa.array(own, pa.int64())).select(["tile", "node", "n", "bits"])
+        yield pa.RecordBatch.from_arrays([*some.columns, pa.array([sets[k].tobytes() for k in own], pa.binary())], names=["tile", "node", "n", "bits", "hashes"])
 
 
 def _few_links(ids, sizes, bits, num: int, den: int) -> list[tuple[int, int]]:
@@ -311,7 +322,7 @@ def links_of(ids, sizes, bits, sets, num: int, den: int) -> list[tuple[int, int]
 
 
 def _link_tile(table: pa.Table, num: int, den: int) -> pa.Table:
-    ids, sizes = table.column("doc_id").to_numpy(), table.column("n").to_numpy()
+    ids, sizes = table.column("node").to_numpy(), table.column("n").to_numpy()
     order = np.lexsort((ids, sizes))
     bits = table.column("bits").to_pylist()
     bits = Bitmaps([bits[i] for i in order])
@@ -365,7 +376,7 @@ def linked(tiles: DataFrame, num: int, den: int, parts: int) -> DataFrame:
 
 
 def tiled(grouped: DataFrame, num: int, den: int) -> DataFrame:
-    """(grp, doc_id, n) with `tile`, the names of all tiles a document is in: one for a group of at
+    """(grp, node, n) with `tile`, the names of all tiles a node is in: one for a group of at
     most one block; else its size band is cut into blocks, and it meets all blocks of its own band
     and of the two next to it."""
     step = max(math.log(den / num), 0.01) * 1.001  # a little wider: sizes that can link are at most one band apart
@@ -378,7 +389,7 @@ def tiled(grouped: DataFrame, num: int, den: int) -> DataFrame:
     up = plan.select("grp", (F.col("band") - 1).alias("band"), F.col("cut").alias("cut_up"))
     down = plan.select("grp", (F.col("band") + 1).alias("band"), F.col("cut").alias("cut_down"))
     plan = plan.join(up, ["grp", "band"], "left").join(down, ["grp", "band"], "left").na.fill(0, ["cut_up", "cut_down"])
-    placed = grouped.join(plan, ["grp", "band"], "left").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("cut")))
+    placed = grouped.join(plan, ["grp", "band"], "left").withColumn("block", F.pmod(F.xxhash64("node"), F.col("cut")))
     name = lambda band, i, band2, j: F.xxhash64("grp", band, i, band2, j)
     none = F.array().cast("array<bigint>")
     up_to = lambda c: F.when(F.col(c) > 0, F.sequence(F.lit(0).cast("long"), F.col(c) - 1)).otherwise(none)
@@ -386,7 +397,7 @@ def tiled(grouped: DataFrame, num: int, den: int) -> DataFrame:
     with_up = F.transform(up_to("cut_up"), lambda j: name(F.col("band"), F.col("block"), F.col("band") + 1, j))
     with_down = F.transform(up_to("cut_down"), lambda j: name(F.col("band") - 1, j, F.col("band"), F.col("block")))
     tiles = F.when(F.col("cut").isNull(), F.array(F.xxhash64("grp"))).otherwise(F.concat(within, with_up, with_down))
-    return placed.select("grp", "doc_id", "n", tiles.alias("tile"))
+    return placed.withColumn("tile", tiles).drop("band", "block", "cut", "cut_up", "cut_down")
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -399,35 +410,39 @@ def jaccard_components(docs: DataFrame, n: int = 5, threshold: float = 0.8, id_c
     texts = id_and_text(docs, id_col, text_col)
     known = texts.where("doc_id is not null")
 
-    sized = checkpointed(texts.mapInArrow(lambda b: _classes(b, n), "doc_id long, n_shingles long, f1 long, f2 long, bits binary"))
-    filled = sized.where("doc_id is not null and n_shingles > 0")
-    heads = filled.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("head"))
-    member = checkpointed(filled.join(heads, ["f1", "f2", "n_shingles"]).select("doc_id", "head").distinct())
+    sized = checkpointed(texts.mapInArrow(lambda b: _classes(b, n), "doc_id long, f1 long, f2 long, n long, bits binary"))
+    classes = sized.where("doc_id is not null and n > 0").groupBy(*CLASS).agg(F.min("doc_id").alias("head"), F.count("*").alias("rows"), F.first("bits").alias("bits"))
+    nodes = checkpointed(classes.withColumn("node", F.monotonically_increasing_id()))
 
     blobs = known.mapInArrow(lambda b: _keys(b, n, num, den, buckets), "bucket int, keys binary, docs binary, owner binary, hot binary, rows binary")
     met = checkpointed(blobs.groupBy("bucket").applyInArrow(_meet, "u long, v long, key long"))
-    to_head = member.where("doc_id <> head")
-    head = lambda df, c: df.join(to_head.toDF(c, "h"), c, "left").withColumn(c, F.coalesce("h", c)).drop("h")
-    signed = sized.where("doc_id is not null and n_shingles > 0").select("doc_id", F.col("n_shingles").alias("n"), "bits").dropDuplicates(["doc_id"])
 
     # small buckets: pairs that the bitmaps' bound allows
-    pairs = head(head(met.where("key is null").select("u", "v").distinct(), "u"), "v").where("u <> v").distinct()
-    pairs = pairs.join(signed.toDF("u", "nu", "bu"), "u").join(signed.toDF("v", "nv", "bv"), "v")
+    end = lambda c: nodes.select(F.col("f1").alias(c), F.col("node").alias(f"node_{c}"), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"b{c}"))
+    pairs = met.where("key is null").select("u", "v").distinct().join(end("u"), "u").join(end("v"), "v")
+    pairs = pairs.drop("u", "v").withColumnsRenamed({"node_u": "u", "node_v": "v"})
     may_link = pairs.mapInArrow(lambda b: _allowed(b, num, den), "u long, v long")
     # large buckets: tiles of bitmaps
-    shared = head(met.where("key is not null").select(F.col("u").alias("doc_id"), F.col("key").alias("grp")), "doc_id").distinct()
-    shared = tiled(shared.join(signed.select("doc_id", "n"), "doc_id"), num, den)
-    shared = shared.select(F.explode("tile").alias("tile"), "doc_id").join(signed, "doc_id")
+    shared = met.where("key is not null").select(F.col("u").alias("f1"), F.col("key").alias("grp")).distinct()
+    shared = tiled(shared.join(nodes.select("f1", "node", "n"), "f1").drop("f1"), num, den)
+    shared = shared.select(F.explode("tile").alias("tile"), "node").join(nodes.select("node", "n", "bits"), "node")
     in_tiles = linked(shared, num, den, buckets)
     grouped = connected_components(may_link.unionByName(in_tiles))
 
-    # groups: tiles of bitmaps and whole sets
-    grouped = grouped.toDF("doc_id", "grp").join(signed.select("doc_id", "n"), "doc_id")
-    grouped = checkpointed(grouped)
-    once = only_listed(known, grouped.select("doc_id")).join(tiled(grouped, num, den).select("doc_id", "tile"), "doc_id")
-    sets = once.mapInArrow(lambda b: _sets(b, n), "tile array<long>, doc_id long, n long, bits binary, hashes binary")
+    # groups: tiles of bitmaps and whole sets; a text that is there more than once is read once
+    grouped = checkpointed(grouped.withColumnRenamed("component", "grp").join(nodes.select("node", "head", *CLASS), "node"))
+    once = only_listed(known, grouped.select(F.col("head").alias("doc_id"))).distinct()
+    once = once.join(tiled(grouped, num, den).withColumnRenamed("head", "doc_id").join(nodes.select("node", "bits"), "node"), "doc_id")
+    sets = once.mapInArrow(lambda b: _sets(b, n), "tile array<long>, node long, n long, bits binary, hashes binary")
     links = linked(sets.withColumn("tile", F.explode("tile")), num, den, buckets)
     found = connected_components(links)
 
-    per_head = member.join(found.toDF("head", "component"), "head", "left").select("doc_id", F.coalesce("component", "head").alias("component")).groupBy("doc_id").agg(F.min("component").alias("component"))
-    return sized.join(per_head, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    # the smallest doc_id of each component, then of each class that is linked or has several rows
+    linked_nodes = found.join(nodes.select("node", "head"), "node")
+    least = linked_nodes.groupBy("component").agg(F.min("head").alias("least"), F.count("*").alias("size"))
+    named = spread_join(linked_nodes.select("node", "component"), least, ["component"], "size").select("node", "least")
+    answer = nodes.join(named, "node", "left").where("rows > 1 or least is not null").select(*CLASS, F.coalesce("least", "head").alias("answer"), "rows")
+    own = sized.drop("bits")
+    out = spread_join(own.where("doc_id is not null and n > 0"), answer, CLASS, "rows")
+    alone = own.where("doc_id is null or n = 0").withColumn("answer", F.lit(None).cast("long"))
+    return out.unionByName(alone).select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("answer", "doc_id").alias("component_id"))

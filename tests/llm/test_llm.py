@@ -78,6 +78,28 @@ def test_jaccard_odd(spark):
     assert sorted(((r.doc_id, r.component_id) for r in jaccard.jaccard_components(df).collect()), key=str) == [(1, 1), (1, 1), (None, None)]
 
 
+def test_jaccard_rows_of_one_id(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "SMALL", 2)
+    words = lambda p: " ".join(f"{p}{i}" for i in range(60))
+    a, b, c = words("a"), words("b"), words("c")
+    rows = [(1, a), (1, b), (2, b + " end"), (3, a + " end"), (3, c), (0, c + " end"), (7, b), (7, b), (None, b), (8, "lone")]
+    want = Counter([(1, 1), (1, 1), (2, 1), (3, 1), (3, 0), (0, 0), (7, 1), (7, 1), (None, None), (8, 8)])
+    for some in (rows, rows[::-1], rows[5:] + rows[:5]):
+        got = jaccard.jaccard_components(spark.createDataFrame(some, "doc_id long, text string"), 5, 0.8).collect()
+        assert Counter((r.doc_id, r.component_id) for r in got) == want
+
+
+def test_jaccard_heavy_class(spark, monkeypatch):
+    from quillspark.llm import common
+
+    monkeypatch.setattr(common, "HEAVY", 3)
+    r = random.Random(5)
+    base = [" ".join(r.choices("abcdefgh", k=50)) for _ in range(6)]
+    some = base[:1] * 60 + base + [base[0] + " x"] * 30 + [base[1] + f" y{i}" for i in range(25)]
+    got = {x.doc_id: x.component_id for x in jaccard.jaccard_components(frame(spark, some), 3, 0.8).collect()}
+    assert got == {i: c for i, (_, c) in brute_components(some, 3, 0.8).items()}
+
+
 def test_links_and_bitmaps():
     r = np.random.default_rng(0)
     sets = []

@@ -9,6 +9,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from quillspark.llm import toxicity
+from quillspark.llm.common import checkpointed
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -38,7 +39,7 @@ def test_repeated_row_through_all_stages(spark, stage):
     got = rows_of(kept)
     assert got[3, a] == got[4, b] == 1 and len(kept.collect()) == 3
     for name in ("toxicity", "exact_dedup", "ngram_jaccard_join", "substring_dedup"):
-        docs = stage[name](spark, docs, SF).localCheckpoint()
+        docs = checkpointed(stage[name](spark, docs, SF))
     got = rows_of(docs)
     assert got[3, a] == got[4, b] == 1 and sum(got.values()) == 3
     pieces = stage["packing"](spark, docs, SF).collect()
