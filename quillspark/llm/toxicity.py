@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 
 import numpy as np
@@ -29,10 +30,11 @@ from pyspark.sql import functions as F
 from .common import crc_of_id, id_and_text, only
 from .sampling import labelled_sample, sampled_texts
 
-#: The most labelled rows that lexicon and weights are learned from, and the most entries.
-SAMPLE_ROWS, ENTRIES = 8_000, 400
+#: The most labelled rows that lexicon and weights are learned from.
+SAMPLE_ROWS = 8_000
 LEAST_DOCS, LEAST_G, PURITY = 5, 22.0, 0.9
-STEM, LONGEST, FUZZY = 4, 14, 6
+#: Letters of the shortest and the longest stem (whole words have any length), and of the shortest entry that allows an edit.
+STEM, LONGEST_STEM, FUZZY = 4, 14, 5
 WINDOW = 8
 CACHE = 200_000
 _WORD = re.compile(r"\w+")
@@ -126,14 +128,16 @@ class Lexicon:
 
 
 class Matcher(dict):
-    """word -> match, for a bounded number of words."""
+    """word -> match, for a bounded number of words; words of their own are no misspellings."""
 
-    def __init__(self, entries):
+    def __init__(self, entries, own=frozenset()):
         super().__init__()
-        self.lexicon = Lexicon(entries)
+        self.lexicon, self.own = Lexicon(entries), own
 
     def __missing__(self, word):
         found = self.lexicon.match(word)
+        if found == 2 and word in self.own:
+            found = 0
         if len(self) >= CACHE:
             self.clear()
         self[word] = found
@@ -154,8 +158,10 @@ def features_of(text: str, matcher: Matcher) -> list[float]:
         if not c:
             continue
         near = words[max(0, i - WINDOW): i + WINDOW + 1]
-        before = sum(p < spans[i] for p in marks) % 2
-        close = any(spans[max(0, i - WINDOW)] <= p < spans[i] for p in marks) and any(spans[i] < p <= spans[min(len(spans) - 1, i + WINDOW)] + 40 for p in marks)
+        at = bisect_left(marks, spans[i])  # marks before the word
+        before = at % 2
+        opens = at > bisect_left(marks, spans[max(0, i - WINDOW)])
+        close = opens and bisect_right(marks, spans[min(len(spans) - 1, i + WINDOW)] + 40) > bisect_right(marks, spans[i])
         is_quoted = bool(before and close) or (close and any(w in REPORTING for w in near))
         quoted += is_quoted
         aimed += any(w in AIMING for w in near) and not is_quoted
@@ -173,7 +179,7 @@ def _prefixes(batches):
     for batch in batches:
         for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist(), strict=True):
             words = set(_WORD.findall(text.lower()))
-            found = {w[:k] for w in words for k in range(STEM, min(len(w), LONGEST) + 1)} | {w + "$" for w in words if FUZZY <= len(w) <= LONGEST}
+            found = {w[:k] for w in words for k in range(STEM, min(len(w), LONGEST_STEM) + 1)} | {w + "$" for w in words if FUZZY <= len(w)}
             (toxic if label else clean).update(found)
     names = list(toxic.keys() | clean.keys())
     yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([toxic[w] for w in names], pa.int64()), pa.array([clean[w] for w in names], pa.int64())], names=["term", "toxic", "clean"])
@@ -195,48 +201,71 @@ def _entries(rows, n1: int, n0: int) -> list[tuple[str, bool]]:
         elif not any(t[:k] in good for k in range(STEM, len(t))):
             out.append((g, t, True))
     out.sort(key=lambda x: (-x[0], x[1], x[2]))
-    return [(t, s) for _, t, s in out[:ENTRIES]]
+    return [(t, s) for _, t, s in out]
 
 
 def fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, rounds: int = 60) -> np.ndarray:
-    """Weights (constant first) of a ridge logistic regression, by Newton steps."""
+    """Weights (constant first) of a ridge logistic regression, by Newton steps that are halved
+    until the penalised likelihood grows, so that they end where classes are apart as well."""
     a = np.concatenate([np.ones((len(x), 1)), x], 1)
     share = min(max(y.mean(), 1e-3), 1 - 1e-3)
     w = np.zeros(a.shape[1])
     w[0] = math.log(share / (1 - share))
     keep = np.full(a.shape[1], ridge)
-    keep[0] = 1e-6
+    keep[0] = 1e-3
+
+    def loss(v):
+        z = a @ v
+        return float(np.logaddexp(0, z).sum() - y @ z + keep @ (v * v) / 2)
+
+    now = loss(w)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
         step = np.linalg.solve((a.T * (p * (1 - p))) @ a + np.diag(keep), a.T @ (y - p) - keep * w)
-        w = w + step
-        if np.abs(step).max() < 1e-9:
+        size = 1.0
+        while size > 1e-6 and not loss(w + size * step) < now:
+            size /= 2
+        if size <= 1e-6:
+            break
+        w = w + size * step
+        now = loss(w)
+        if np.abs(size * step).max() < 1e-9:
             break
     return w
 
 
+def _own_words(batches, entries):
+    """Words of documents that the automaton meets with one edit."""
+    lexicon = Lexicon(entries)
+    for batch in batches:
+        words = {w for t in batch.column("text").to_pylist() for w in _WORD.findall(t.lower())}
+        yield pa.RecordBatch.from_arrays([pa.array(sorted(w for w in words if lexicon.match(w) == 2), pa.string())], names=["word"])
+
+
 def train(docs: DataFrame, labels: DataFrame, held_out, label: str = "toxic", rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text"):
-    """(lexicon entries, weights) from a bounded, hashed sample of labelled rows."""
+    """(matcher's entries and own words, weights) from a bounded, hashed sample of labelled rows."""
     sample = labelled_sample(labels, label, held_out, rows)
     n = {r.label: r["count"] for r in sample.groupBy("label").count().collect()}
     n1, n0 = n.get(1, 0), n.get(0, 0)
     if not n1 or not n0:
-        return [], np.array([math.log(1e-3 / (1 - 1e-3)) if not n1 else math.log((1 - 1e-3) / 1e-3), *[0.0] * 6])
+        return ([], frozenset()), np.array([math.log(1e-3 / (1 - 1e-3)) if not n1 else math.log((1 - 1e-3) / 1e-3), *[0.0] * 6])
     texts = sampled_texts(id_and_text(docs, id_col, text_col), sample).select("label", "text")
     counted = texts.mapInArrow(_prefixes, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     strong = counted.where((F.col("toxic") >= LEAST_DOCS) & (F.col("toxic") * n0 > 20 * F.col("clean") * n1))
     entries = _entries(strong.collect(), n1, n0)  # bounded by the sample
+    clean = texts.where("label = 0").mapInArrow(lambda b: _own_words(b, entries), "word string").distinct()
+    own = frozenset(r.word for r in clean.collect())  # bounded by the sample
 
     def features(batches):
-        matcher = Matcher(entries)
+        matcher = Matcher(entries, own)
         for batch in batches:
             x = [features_of(t, matcher) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(x, pa.list_(pa.float64()))], names=["label", "x"])
 
     got = sorted(texts.mapInArrow(features, "label int, x array<double>").collect(), key=lambda r: (r.label, r.x))
     if not got:
-        return entries, np.array([math.log(n1 / n0), *[0.0] * 6])
-    return entries, fit(np.array([r.x for r in got]), np.array([r.label for r in got], float))
+        return (entries, own), np.array([math.log(n1 / n0), *[0.0] * 6])
+    return (entries, own), fit(np.array([r.x for r in got]), np.array([r.label for r in got], float))
 
 
 def _scores(texts: list, matcher: Matcher, weights: np.ndarray) -> np.ndarray:
@@ -247,12 +276,12 @@ def _scores(texts: list, matcher: Matcher, weights: np.ndarray) -> np.ndarray:
 def without_toxic(docs: DataFrame, labels: DataFrame, held_out=None, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, whole and each by its own text, that toxicity_scores does not predict toxic."""
     held = held_out if held_out is not None else F.pmod(crc_of_id(), F.lit(5)) == 0
-    entries, weights = train(docs, labels, held, label, id_col=id_col, text_col=text_col)
+    lexicon, weights = train(docs, labels, held, label, id_col=id_col, text_col=text_col)
     place = docs.columns.index(text_col)
 
     def run(batches):
         only()
-        matcher = Matcher(entries)
+        matcher = Matcher(*lexicon)
         for batch in batches:
             s = _scores([t or "" for t in batch.column(place).to_pylist()], matcher, weights)
             yield batch.filter(pa.array(s < 0.5))
@@ -263,11 +292,11 @@ def without_toxic(docs: DataFrame, labels: DataFrame, held_out=None, label: str
 def toxicity_scores(docs: DataFrame, labels: DataFrame, held_out=None, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, score, predicted)."""
     held = held_out if held_out is not None else F.pmod(crc_of_id(), F.lit(5)) == 0
-    entries, weights = train(docs, labels, held, label, id_col=id_col, text_col=text_col)
+    lexicon, weights = train(docs, labels, held, label, id_col=id_col, text_col=text_col)
 
     def run(batches):
         only()
-        matcher = Matcher(entries)
+        matcher = Matcher(*lexicon)
         for batch in batches:
             s = _scores(batch.column("text").to_pylist(), matcher, weights)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
