@@ -2,9 +2,11 @@
 
 Each language is a distribution over hashed byte trigrams, counted over all training
 documents.  A document is a mixture of languages: expectation-maximisation estimates the
-proportions, and of the sets of its leading languages the one with the best likelihood,
-less a penalty for each language more, is chosen.  The prediction is the language with the
-largest proportion in that set, the score its proportion.
+proportions, and the set of languages with the best likelihood, less a penalty for each language
+more, is chosen.  One language is compared with what any mixture could reach (a bound from the
+concavity of the likelihood); only where a further one may pay are all pairs tried, and larger sets
+grow from the best pair a language at a time, as long as the bound leaves room.  The prediction is the
+language with the largest proportion in that set, the score its proportion.
 
 Defined results: null text, or text without a letter, is `und` with score 0.  Documents
 without a lang, or with a null doc_id's remainder 0, teach nothing.  With nothing learned, every
@@ -14,6 +16,7 @@ document is `und`.  Equal proportions: the language that sorts first.  An empty
 from __future__ import annotations
 
 import re
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +29,6 @@ BINS = 1 << 15
 ROUNDS = 12
 #: What a further language must add to the log-likelihood, times half the log of the n-grams.
 PENALTY = 4.0
-LEAST = 0.05
 _SPACES = bytes(range(65)) + bytes(range(91, 97)) + bytes(range(123, 128))
 _CLEAN = bytes.maketrans(_SPACES + bytes(range(65, 91)), b" " * len(_SPACES) + bytes(range(97, 123)))
 _LETTER = re.compile(r"[^\W\d_]")
@@ -80,25 +82,40 @@ def proportions(p: np.ndarray, counts: np.ndarray, start: np.ndarray, rounds: in
     return w, float(counts @ np.log(w @ p))
 
 
+def most(p: np.ndarray, counts: np.ndarray, w: np.ndarray, like: float) -> float:
+    """What the log-likelihood of no mixture exceeds: it is concave, and its slope towards one language
+    at w is the mean of that language's likelihood ratios."""
+    n = counts.sum()
+    return like + n * float(np.log((p @ (counts / (w @ p)) / n).max()))
+
+
 def mixture(p: np.ndarray, bins: np.ndarray) -> np.ndarray:
     """Proportions of all languages in a document: zero outside the chosen set."""
     at, counts = np.unique(bins, return_counts=True)
-    q, out = p[:, at], np.zeros(len(p))
-    w, _ = proportions(q, counts, np.full(len(p), 1 / len(p)), 3)
-    order = np.argsort(-w, kind="stable")
-    best, chosen = -np.inf, None
-    for k in range(1, len(order) + 1):
-        if k > 1 and w[order[k - 1]] < LEAST:
+    q, m, out = p[:, at], len(p), np.zeros(len(p))
+    price = PENALTY * np.log(len(bins) + 1) / 2  # of each language after the first
+    singles = np.log(q) @ counts
+    first = int(np.argmax(singles))
+    best, chosen = float(singles[first]), ((first,), np.ones(1))
+    w, like = proportions(q, counts, np.full(m, 1 / m), 3)
+    bound = most(q, counts, w, like)
+    if m > 1 and bound - price > best:
+        w, like = proportions(q, counts, w)
+        bound = min(bound, most(q, counts, w, like))
+    tried = combinations(range(m), 2)
+    for k in range(2, m + 1):
+        if bound - price * (k - 1) <= best:
             break
-        some = order[:k]
-        if k == 1:
-            v, like = np.ones(1), float(counts @ np.log(q[some[0]]))
-        else:
-            v, like = proportions(q[some], counts, w[some] / w[some].sum())
-        like -= PENALTY * (k - 1) * np.log(len(bins) + 1) / 2
-        if like > best:
-            best, chosen = like, (some, v)
-    out[chosen[0]] = chosen[1]
+        top = None
+        for some in tried:
+            part = q[list(some)]
+            v, like = proportions(part, counts, np.full(k, 1 / k))
+            if top is None or like > top[0]:
+                top = (like, some, v)
+        if top[0] - price * (k - 1) > best:
+            best, chosen = top[0] - price * (k - 1), top[1:]
+        tried = [(*top[1], j) for j in range(m) if j not in top[1]]
+    out[list(chosen[0])] = chosen[1]
     return out
 
 
