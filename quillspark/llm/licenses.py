@@ -1,19 +1,28 @@
 """License scans: an exact set-similarity join of text blocks with license templates.
 
-A template is the set of words of a notice, a block is the set of words of a line, or of a run of
-SPAN times the notice's words across line breaks, so that wrapped notices are found.  A block matches when it holds at least the threshold's share of the template's words.  Words are
-ordered by their document frequency over all documents, rarest first; a block that matches must
-hold one of the first size - need + 1 words of the template (prefix filter), must be large
-enough (length filter); a positional filter would remove nothing more.  What remains is decided by exact intersection.  Base phrases are places
-where their words stand consecutively.
+A template is the set of words of a notice.  A block is the set of words of a line, or of a run of
+SPAN times the notice's words across line breaks, so that wrapped notices are found.  A block matches
+when it holds at least the threshold's share of the template's words, `need` of them.  All words of
+templates have one order, by their document frequency over all documents, rarest first; others
+cannot match and leave a block.  Three filters come before the intersection:
+
+* prefix: a template shows its first size - need + 1 words only, a block its first
+  size - least need + 1; blocks and templates that match share one of these;
+* length: a block has at least `need` words;
+* position: with the first word in common at place p of a block, no more than size - p words of it
+  can be shared, which must be `need` at least.
+
+What remains is decided by exact intersection.  Base phrases are places where their words stand
+consecutively.
 
 Only DataFrame functions run.  The template table is a constant; blocks are only made of
 documents with a prefix word, and equal blocks of a document are joined once.  Runs of words are
 only tried for a template of which the whole document holds enough words, and begin at its words.
 
 Defined results: null or empty text has no words, no labels and score 0.  A line's words are
-runs of 0-9, a-z (A-Z lower-cased) and characters beyond ASCII.  Rows that share a doc_id share
-the labels found by templates; a null doc_id gets its base labels only.  An empty table gives no rows.
+runs of 0-9, a-z (of letters only A-Z are lower-cased) and characters beyond ASCII.  Rows that share
+a doc_id share the labels found by templates; a null doc_id gets its base labels only.  An empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -43,11 +52,12 @@ THRESHOLD = 0.8
 #: Words of a run, in lengths of the notice: texts hold words that the notice has not.
 SPAN = 2
 WORD_GAP = "[\\x00-/:-`{-\\x7F]+"
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def plain_words(text: Column) -> Column:
     """The words of a text, lower-cased, joined by one space."""
-    return F.trim(F.regexp_replace(F.lower(text), WORD_GAP, " "))
+    return F.trim(F.regexp_replace(F.translate(text, UPPER, LOWER), WORD_GAP, " "))
 
 
 def _spaces(text: Column) -> Column:
@@ -67,6 +77,23 @@ def _needs(n: int, threshold: float) -> int:
     return max(1, -int(-n * threshold // 1))
 
 
+def prefix_table(words: dict[str, list[str]], order: list[str], threshold: float) -> list[tuple]:
+    """(label, word, size, need, notice): the prefix words of every template, in the order given."""
+    rows = []
+    for label, some in words.items():
+        ordered, need = sorted(some, key=order.index), _needs(len(some), threshold)
+        rows += [(label, w, len(some), need, some) for w in ordered[: len(some) - need + 1]]
+    return rows
+
+
+def candidates(blocks: DataFrame, prefix: DataFrame, least: int, by_place: bool = True) -> DataFrame:
+    """(doc_id, block, label, size, need, notice) that pass the filters; a block's words are in order."""
+    some = F.slice("block", F.lit(1), F.greatest(F.size("block") - (least - 1), F.lit(0)))
+    probes = blocks.where(F.size("block") >= least).select("doc_id", "block", F.posexplode(some).alias("place", "word"))
+    met = probes.join(F.broadcast(prefix), "word").where(F.size("block") >= F.col("need"))
+    return (met.where(F.size("block") - F.col("place") >= F.col("need")) if by_place else met).drop("word", "place")
+
+
 def license_scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score); the score is the
     largest share of a template found in a block, 1 with a base phrase."""
@@ -80,24 +107,17 @@ def license_scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESH
     literal = lambda ws: F.array(*[F.lit(w) for w in ws])
     held = texts.select(F.explode(F.array_intersect(F.split("plain", " "), literal(every))).alias("word"))
     df = {r.word: r.n for r in held.groupBy("word").agg(F.count("*").alias("n")).collect()}
-    order = {w: (df.get(w, 0), w) for w in every}
-
-    rows = []
-    for label, s in words.items():
-        ordered, need = sorted(s, key=order.__getitem__), _needs(len(s), threshold)
-        rows += [(label, w, place, len(s), need, s) for place, w in enumerate(ordered[: len(s) - need + 1])]
-    prefix = spark.createDataFrame(rows, "label string, word string, place int, size int, need int, notice array<string>")
-    rare = sorted({r[1] for r in rows})
+    order = sorted(every, key=lambda w: (df.get(w, 0), w))
+    rows = prefix_table(words, order, threshold)
+    prefix = spark.createDataFrame(rows, "label string, word string, size int, need int, notice array<string>")
+    rare, least = sorted({r[1] for r in rows}), min(r[3] for r in rows)
 
-    # blocks of the documents that hold a prefix word
+    # blocks of the documents that hold a prefix word: the templates' words of a line, in order
     some = texts.where(F.col("doc_id").isNotNull() & F.arrays_overlap(F.split("plain", " "), literal(rare)))
-    lines = some.select("doc_id", F.explode(F.array_distinct(F.transform(F.split("text", "\n"), plain_words))).alias("line"))
-    blocks = lines.select("doc_id", F.array_distinct(F.split("line", " ")).alias("block"))
-    probes = blocks.select("doc_id", "block", F.explode(F.array_intersect("block", literal(rare))).alias("word"))
-    met = probes.join(F.broadcast(prefix), "word")
-    met = met.where((F.size("block") >= F.col("need")) & (F.col("size") - F.col("place") >= F.col("need")))
+    in_order = lambda line: F.array_intersect(literal(order), F.split(plain_words(line), " "))
+    blocks = some.select("doc_id", F.explode(F.array_distinct(F.transform(F.split("text", "\n"), in_order))).alias("block"))
     common = F.size(F.array_intersect("block", "notice"))
-    by_line = met.withColumn("common", common).where(F.col("common") >= F.col("need")).select("doc_id", "label", "common", "size")
+    by_line = candidates(blocks, prefix, least).withColumn("common", common).where(F.col("common") >= F.col("need")).select("doc_id", "label", "common", "size")
 
     # runs of words across line breaks; a run that matches can begin at a word of the template
     span = {label: SPAN * len(notice.split()) for label, notice in templates}

@@ -42,17 +42,22 @@ def op8_license_scan() -> str:
         parts = phrase.split()
         same = " AND ".join(f"w[i + {k}] = '{x}'" for k, x in enumerate(parts, 1))
         places.append(f"list_filter(range(0, greatest(len(w) - {len(parts) - 1}, 0)), lambda i: {same})")
-    values = ", ".join(f"('{label}', [{', '.join(repr(w) for w in sorted(set(notice.split())))}])" for label, notice in licenses.TEMPLATES)
+    values = ", ".join(f"('{label}', [{', '.join(repr(w) for w in sorted(set(notice.split())))}], {licenses.SPAN * len(notice.split())})" for label, notice in licenses.TEMPLATES)
+    need = f"ceil(len(notice) * {licenses.THRESHOLD} - 1e-9)"
     names = [label for _, label in licenses.PHRASES]
     base = " || ".join(f"CASE WHEN len(p{k}) > 0 THEN ['{label}'] ELSE [] END" for k, label in enumerate(names))
     return f"""
 WITH words AS (SELECT doc_id, {words.format(text=lower)} AS w, {lower} AS t FROM documents),
 found AS (SELECT doc_id, w, t, {', '.join(f'{p} AS p{k}' for k, p in enumerate(places))} FROM words),
-templates(label, notice) AS (VALUES {values}),
+templates(label, notice, span) AS (VALUES {values}),
 lines AS (SELECT DISTINCT doc_id, list_distinct({words.format(text='line')}) AS block FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM words)),
-shares AS (
-  SELECT doc_id, label, len(list_intersect(block, notice)) / len(notice) AS share
-  FROM lines, templates WHERE len(list_intersect(block, notice)) >= ceil(len(notice) * {licenses.THRESHOLD} - 1e-9)),
+runs AS (
+  SELECT doc_id, label, notice, unnest(list_filter(range(1, len(w) + 1), lambda i: list_contains(notice, w[i]))) AS i, w, span FROM words, templates
+  WHERE contains(t, chr(10)) AND len(list_intersect(list_distinct(w), notice)) >= {need}),
+blocks AS (
+  SELECT doc_id, label, notice, len(list_intersect(block, notice)) AS common FROM lines, templates
+  UNION ALL SELECT doc_id, label, notice, len(list_intersect(list_distinct(w[i:i + span - 1]), notice)) FROM runs),
+shares AS (SELECT doc_id, label, common / len(notice) AS share FROM blocks WHERE common >= {need}),
 best AS (SELECT doc_id, list(DISTINCT label) AS found_labels, max(share) AS share FROM shares GROUP BY doc_id),
 all_of AS (SELECT f.*, p0 || p1 || p2 AS p, {base} AS b, b.found_labels, b.share FROM found f LEFT JOIN best b USING (doc_id))
 SELECT doc_id, len(w)::BIGINT AS n_words, len(p)::BIGINT AS n_base, list_min(p)::BIGINT AS first_word, list_max(p)::BIGINT AS last_word,
