@@ -1,11 +1,14 @@
 """Exact deduplication with counting quotient filters and byte verification.
 
-Every batch of rows puts its 64-bit text fingerprints into a counting quotient filter: the
+Every partition puts its 64-bit text fingerprints into a counting quotient filter: the
 high bits (quotient) select a run, the low bits (remainder) are stored sorted within their
 run, each with a count.  Filters of the same quotient range merge without loss by merging
 their sorted remainders and adding counts.  Only fingerprints whose merged count exceeds
 one are routed on: the texts behind them are grouped byte by byte, with partial aggregation
-on the map side, so a text with any number of copies leaves each task once.
+on the map side, so a text with any number of copies leaves each task once.  Other texts are not
+moved: routed fingerprints are broadcast up to a counted bound, beyond it as a bitmap of fixed size
+that lets some others through, which the groups sort out.  Groups with a large share of all rows
+are broadcast to those rows, so no task gets a whole group.
 
 Defined results: null text is the empty text, and empty texts are copies of each other.
 Repeated rows are copies too; rows that share doc_id and text are all marked kept when that
@@ -20,7 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, id_and_text, n_partitions
+from .bloom import only_listed
+from .common import U64, checkpointed, id_and_text, n_partitions, spread_join
 
 
 class CountingQuotientFilter:
@@ -72,13 +76,29 @@ class CountingQuotientFilter:
 REMAINDER_BITS = 44
 
 
+#: Fingerprints that a task holds before its filters leave it, and those that are broadcast as they are.
+HELD, LISTED = 1 << 22, 1_000_000
+
+
 def _filters(batches, ranges):
-    for batch in batches:
-        f = np.sort(batch.column("fp").to_numpy().view(U64))
+    """The filters of a partition, one a range of quotients."""
+    held: list[np.ndarray] = []
+
+    def out():
+        f = np.sort(np.concatenate(held))
+        held.clear()
         part = ((f >> U64(32)) * U64(ranges) >> U64(32)).astype(np.int64)
         at = np.searchsorted(part, np.arange(ranges + 1))
         full = np.flatnonzero(np.diff(at))
-        yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([CountingQuotientFilter.of(f[at[b]:at[b + 1]], REMAINDER_BITS).to_bytes() for b in full], pa.binary())], names=["part", "filter"])
+        made = [CountingQuotientFilter.of(f[at[b]:at[b + 1]], REMAINDER_BITS).to_bytes() for b in full]
+        return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(made, pa.binary())], names=["part", "filter"])
+
+    for batch in batches:
+        held.append(batch.column("fp").to_numpy().view(U64))
+        if sum(map(len, held)) >= HELD:
+            yield out()
+    if held:
+        yield out()
 
 
 def _repeated(table: pa.Table) -> pa.Table:
@@ -93,16 +113,17 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     texts = id_and_text(docs, id_col, text_col)
     hashed = texts.select("doc_id", "text", F.xxhash64("text").alias("fp"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
     filters = hashed.select("fp").mapInArrow(lambda b: _filters(b, ranges), "part int, filter binary")
-    repeated = filters.groupBy("part").applyInArrow(_repeated, "fp long")
+    repeated = checkpointed(filters.groupBy("part").applyInArrow(_repeated, "fp long"))
+    few = repeated.count() <= LISTED
+    routed = hashed.join(F.broadcast(repeated), "fp", "left_semi") if few else only_listed(hashed, repeated, "fp")
     # byte verification: equal fingerprints are copies only where the whole texts are equal
-    routed = hashed.join(repeated, "fp", "left_semi")
     same = routed.groupBy("text_sha256", "text").agg(F.max("doc_id").alias("keep"), F.count("*").alias("size"))
-    same = same.select("text_sha256", "keep", "size")
-    out = hashed.select("doc_id", "text_sha256").join(same, "text_sha256", "left")
+    same = same.where("size > 1").select("text_sha256", "keep", F.col("size").alias("group_size"), "size")
+    out = spread_join(hashed.select("doc_id", "text_sha256"), same, ["text_sha256"], "size")
     return out.select(
         "doc_id",
         F.coalesce("keep", "doc_id").alias("keep_id"),
-        F.coalesce("size", F.lit(1)).cast("long").alias("group_size"),
+        F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
         F.coalesce(F.col("doc_id") == F.col("keep"), F.col("keep").isNull()).alias("kept"),
         "text_sha256",
     )
