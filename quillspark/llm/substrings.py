@@ -1,19 +1,20 @@
 """Removal of repeated substrings of n words, found by fixed-block anchors.
 
-Of each document the non-overlapping blocks of b = (n+1)//2 words at multiples of b are
-the reference index; any window of n words holds one of them whole.  Every rolling window
-of b words probes the index, and a probe that meets a block elsewhere is a hit.  Hits are
-extended: each n-word window that holds a hit is looked up by the hash of all its words,
-and consecutive windows that were seen earlier join to maximal exact repeats.
-
-Scale.  Texts are dealt once into blocks of consecutive doc_ids.  A block sends its probes to
-hash ranges as sorted gaps of a few bytes, every distinct value once, so a passage that is
-in all documents costs one entry a block.  Since blocks are ordered, whether a window
+Of each document the non-overlapping runs of b = (n+1)//2 words at multiples of b are
+the reference blocks; any window of n words holds one of them whole.  Every rolling window
+of b words probes the index, and a probe that meets a reference block elsewhere is a hit.  Hits are
+extended: each n-word window that holds a hit is looked up by two independent 64-bit hashes of
+all its words, and consecutive windows that were seen earlier join to maximal exact repeats.
+
+Scale.  Texts are dealt once into blocks of consecutive doc_ids, of bounded bytes.  A block sends
+its probes to hash ranges as sorted gaps of a few bytes, every distinct value once, so a passage
+that is in all documents costs one entry a block; probes have more bits the more text there is, so
+that chance hits stay rare at any size.  Since blocks are ordered, whether a window
 starts earlier needs no address: the smallest block that has it comes first, and inside a
 block it is known locally.  The answers are bit masks over the values sent.
 
 Defined results: null or empty text has no words and nothing to remove.  Documents of fewer
-than n words are untouched.  Repeated rows and equal doc_ids are ordered by their text.  A
+than n words are untouched.  Rows that share a doc_id are ordered by the hash of their text.  A
 null doc_id counts as later than all others.  An empty table gives no rows.
 """
 
@@ -27,13 +28,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructType
 
-from .common import U64, WordHashes, id_and_text, n_partitions, only, pack_sorted, remembers, unpack_sorted, windows
+from .common import U64, WordHashes, id_and_text, mix, n_partitions, only, pack_sorted, remembers, unpack_sorted, windows
 from .order import with_blocks
 
 _HASHES = WordHashes()
 remembers("substrings", _HASHES.clear)
-#: Bits of a probe. A chance meeting only makes a window a candidate; windows are decided by 64 bits.
-PROBE_BITS = 40
+#: The fewest bits of a probe, and how many there are beyond those that number all probes.  A chance
+#: meeting only makes a window a candidate; windows are decided by 128 bits.
+PROBE_BITS, SPARE_BITS = 40, 12
+
+
+def probe_bits(total: int) -> int:
+    """Bits of a probe for texts of so many bytes: chance hits stay below one in 2^SPARE_BITS."""
+    return min(64, max(PROBE_BITS, (total // 4).bit_length() + SPARE_BITS))
 
 
 class _Block:
@@ -41,13 +48,14 @@ class _Block:
 
     def __init__(self, table: pa.Table, n: int):
         only("substrings")
-        ids = table.column("doc_id").to_pylist()
-        texts = table.column("text").cast(pa.binary()).to_pylist()
-        self.order = order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0, texts[i]))
-        self.ids, self.words = [ids[i] for i in order], [texts[i].split() for i in order]
-        self.sizes = np.array([len(w) for w in self.words], np.int64)
+        ids, by = table.column("doc_id").to_pylist(), table.column("hash").to_pylist()
+        texts = table.column("text").cast(pa.binary())
+        self.order = order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0, by[i]))
+        self.ids, self.texts = [ids[i] for i in order], [texts[i] for i in order]
+        hashes = [_HASHES.of(t.as_py().split()) for t in self.texts]
+        self.sizes = np.array([len(h) for h in hashes], np.int64)
         self.start = np.concatenate([[0], np.cumsum(self.sizes)])
-        self.hashes = np.concatenate([_HASHES.of(w) for w in self.words]) if len(order) else np.empty(0, U64)
+        self.hashes = np.concatenate(hashes) if hashes else np.empty(0, U64)
         self.place = np.arange(self.start[-1]) - np.repeat(self.start[:-1], self.sizes)
         self.left = np.repeat(self.sizes, self.sizes) - self.place  # words from here to the document's end
         self.long = np.repeat(self.sizes, self.sizes) >= n
@@ -59,12 +67,12 @@ class _Block:
         return at, h[at]
 
 
-def _probes(block: _Block, n: int, b: int):
+def _probes(block: _Block, n: int, b: int, bits: int):
     """Distinct probe values of a block, in order, and of each window of b words: its start and its
     value's number; which values are anchors; which occur more than once."""
     at, h = block.runs(b)
     keep = block.long[at]
-    at, h = at[keep], h[keep] >> U64(64 - PROBE_BITS)
+    at, h = at[keep], h[keep] >> U64(64 - bits)
     values, number, counts = np.unique(h, return_inverse=True, return_counts=True)
     anchor = np.zeros(len(values), bool)
     anchor[number[block.place[at] % b == 0]] = True
@@ -84,11 +92,11 @@ def _batch(rows, types) -> pa.Table:
     return pa.table([pa.array([r[i] for r in rows], t) for i, (_, t) in enumerate(types)], names=names)
 
 
-def _send_probes(table: pa.Table, n: int, b: int, buckets: int) -> pa.Table:
+def _send_probes(table: pa.Table, n: int, b: int, buckets: int, bits: int) -> pa.Table:
     block = _Block(table, n)
     number = table.column("block")[0].as_py()
-    values, _, _, anchor, multi = _probes(block, n, b)
-    at = _buckets(values, PROBE_BITS, buckets)
+    values, _, _, anchor, multi = _probes(block, n, b, bits)
+    at = _buckets(values, bits, buckets)
     rows = [(k, number, pack_sorted(values[at[k]:at[k + 1]]), np.packbits(anchor[at[k]:at[k + 1]]).tobytes(), np.packbits(multi[at[k]:at[k + 1]]).tobytes()) for k in range(buckets) if at[k] < at[k + 1]]
     return _batch(rows, (("bucket", pa.int32()), ("block", pa.int64()), ("vals", pa.binary()), ("anchor", pa.binary()), ("multi", pa.binary())))
 
@@ -130,38 +138,55 @@ def _hits(answers: pa.Table, at: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def _candidates(block: _Block, answers: pa.Table, n: int, b: int, buckets: int):
-    """Windows of n words that hold a hit: starts and hashes."""
-    values, at, number, _, _ = _probes(block, n, b)
-    hit = _hits(answers, _buckets(values, PROBE_BITS, buckets), len(values))[number]
+def _candidates(block: _Block, answers: pa.Table, n: int, b: int, buckets: int, bits: int):
+    """Windows of n words that hold a hit: starts and both hashes."""
+    values, at, number, _, _ = _probes(block, n, b, bits)
+    hit = _hits(answers, _buckets(values, bits, buckets), len(values))[number]
     marks = np.zeros(len(block.hashes) + 1, np.int64)
     marks[at[hit] + 1] = 1
     marks = np.cumsum(marks)  # marks[i]: hits that start before word i
     start, h = block.runs(n)
     holds = marks[start + n - b + 1] > marks[start]
-    return start[holds], h[holds]
+    start, h = start[holds], h[holds]
+    return start, h, windows(mix(block.hashes ^ SECOND), n)[start] if len(start) else h
+
+
+#: Makes the second hash of a window's words independent of the first.
+SECOND = U64(0x5851F42D4C957F2D)
+
+
+def _distinct(h: np.ndarray, h2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of pairs of hashes: where each distinct pair comes first, in order, and the number of each pair."""
+    order = np.lexsort((h2, h))
+    head = np.ones(len(h), bool)
+    head[1:] = (h[order][1:] != h[order][:-1]) | (h2[order][1:] != h2[order][:-1])
+    number = np.empty(len(h), np.int64)
+    number[order] = np.cumsum(head) - 1
+    return order[head], number
 
 
-def _send_windows(table: pa.Table, answers: pa.Table, n: int, b: int, buckets: int) -> pa.Table:
+def _send_windows(table: pa.Table, answers: pa.Table, n: int, b: int, buckets: int, bits: int) -> pa.Table:
     rows = []
     if table.num_rows:
         number = table.column("block")[0].as_py()
-        values = np.unique(_candidates(_Block(table, n), answers, n, b, buckets)[1])
+        _, h, h2 = _candidates(_Block(table, n), answers, n, b, buckets, bits)
+        first, _ = _distinct(h, h2)
+        values, second = h[first], h2[first].astype("<u8")
         at = _buckets(values, 64, buckets)
-        rows = [(k, number, pack_sorted(values[at[k]:at[k + 1]])) for k in range(buckets) if at[k] < at[k + 1]]
-    return _batch(rows, (("bucket", pa.int32()), ("block", pa.int64()), ("vals", pa.binary())))
+        rows = [(k, number, pack_sorted(values[at[k]:at[k + 1]]), second[at[k]:at[k + 1]].tobytes()) for k in range(buckets) if at[k] < at[k + 1]]
+    return _batch(rows, (("bucket", pa.int32()), ("block", pa.int64()), ("vals", pa.binary()), ("second", pa.binary())))
 
 
 def _answer_windows(table: pa.Table) -> pa.Table:
     """For each block, which of the windows it sent are in a smaller block as well."""
     bucket = table.column("bucket")[0].as_py()
-    sent = sorted(((s, unpack_sorted(v)) for s, v in zip(table.column("block").to_pylist(), table.column("vals").to_pylist(), strict=True)), key=lambda x: x[0])
-    every = np.concatenate([v for _, v in sent])
-    _, first = np.unique(every, return_index=True)  # the first in order of blocks
-    later = np.ones(len(every), bool)
+    sent = sorted(zip(*(table.column(c).to_pylist() for c in ("block", "vals", "second")), strict=True), key=lambda x: x[0])
+    values = [unpack_sorted(v) for _, v, _ in sent]
+    first, _ = _distinct(np.concatenate(values), np.concatenate([np.frombuffer(x, "<u8") for _, _, x in sent]))  # in order of blocks
+    later = np.ones(sum(map(len, values)), bool)
     later[first] = False
     rows, at = [], 0
-    for s, v in sent:
+    for (s, _, _), v in zip(sent, values, strict=True):
         mask = later[at:at + len(v)]
         at += len(v)
         if mask.any():
@@ -169,14 +194,14 @@ def _answer_windows(table: pa.Table) -> pa.Table:
     return _batch(rows, (("block", pa.int64()), ("bucket", pa.int32()), ("mask", pa.binary())))
 
 
-def _removed(table: pa.Table, answers: pa.Table, n: int, b: int, buckets: int):
+def _removed(table: pa.Table, answers: pa.Table, n: int, b: int, buckets: int, bits: int):
     """The block and a mask of its words that are covered by a window that starts earlier too."""
     block = _Block(table, n)
     kind = np.array(answers.column("kind").to_pylist(), np.int64)
     of = lambda k: answers.filter(pa.array(kind == k))
-    start, h = _candidates(block, of(0), n, b, buckets)
-    values, first, number = np.unique(h, return_index=True, return_inverse=True)
-    earlier = _hits(of(1), _buckets(values, 64, buckets), len(values))[number]
+    start, h, h2 = _candidates(block, of(0), n, b, buckets, bits)
+    first, number = _distinct(h, h2)
+    earlier = _hits(of(1), _buckets(h[first], 64, buckets), len(first))[number]
     own_first = np.zeros(len(h), bool)
     own_first[first] = True
     covered = np.zeros(len(block.hashes) + 1, np.int64)
@@ -186,12 +211,13 @@ def _removed(table: pa.Table, answers: pa.Table, n: int, b: int, buckets: int):
     return block, np.cumsum(covered[:-1]) > 0
 
 
-def _kept(table: pa.Table, answers: pa.Table, n: int, b: int, buckets: int, with_text: bool, carry: tuple[str, ...]) -> pa.Table:
+def _kept(table: pa.Table, answers: pa.Table, n: int, b: int, buckets: int, bits: int, with_text: bool, carry: tuple[str, ...]) -> pa.Table:
     ids, words, removed, sha, texts, order = [], [], [], [], [], []
     if table.num_rows:
-        block, gone = _removed(table, answers, n, b, buckets)
+        block, gone = _removed(table, answers, n, b, buckets, bits)
         order = block.order
-        for i, w in enumerate(block.words):
+        for i, t in enumerate(block.texts):
+            w = t.as_py().split()
             g = gone[block.start[i]:block.start[i + 1]]
             k = int(g.sum())
             text = b" ".join(w if not k else [x for x, y in zip(w, g.tolist(), strict=True) if not y])
@@ -212,12 +238,13 @@ def remove_repeats(docs: DataFrame, window: int = 20, with_text: bool = False, i
     buckets, b = n_partitions(docs.sparkSession), (window + 1) // 2
     more = () if carry is None else (carry,)
     texts = id_and_text(docs, id_col, text_col, *more)
-    texts = with_blocks(texts, 2 * buckets).repartition(buckets, "block")
+    texts, total = with_blocks(texts, 2 * buckets)
+    texts, bits = texts.repartition(buckets, "block"), probe_bits(total)
 
-    sent = texts.groupBy("block").applyInArrow(lambda t: _send_probes(t, window, b, buckets), _SENT)
+    sent = texts.groupBy("block").applyInArrow(lambda t: _send_probes(t, window, b, buckets, bits), _SENT)
     hits = sent.groupBy("bucket").applyInArrow(_answer_probes, _ANSWER)
     by_block = texts.groupBy("block")
-    sent = by_block.cogroup(hits.groupBy("block")).applyInArrow(lambda t, a: _send_windows(t, a, window, b, buckets), "bucket int, block long, vals binary")
+    sent = by_block.cogroup(hits.groupBy("block")).applyInArrow(lambda t, a: _send_windows(t, a, window, b, buckets, bits), "bucket int, block long, vals binary, second binary")
     again = sent.groupBy("bucket").applyInArrow(_answer_windows, _ANSWER)
     answers = hits.withColumn("kind", F.lit(0)).unionByName(again.withColumn("kind", F.lit(1)))
     schema = StructType().add("doc_id", LongType()).add("n_words", LongType()).add("n_removed", LongType()).add("kept_sha256", StringType())
@@ -225,4 +252,4 @@ def remove_repeats(docs: DataFrame, window: int = 20, with_text: bool = False, i
     own = ("text", *more) if more else ()
     for c in own:
         schema = schema.add(c, texts.schema[c].dataType)
-    return by_block.cogroup(answers.groupBy("block")).applyInArrow(lambda t, a: _kept(t, a, window, b, buckets, with_text, own), schema)
+    return by_block.cogroup(answers.groupBy("block")).applyInArrow(lambda t, a: _kept(t, a, window, b, buckets, bits, with_text, own), schema)
