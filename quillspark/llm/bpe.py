@@ -19,7 +19,6 @@ import json
 import mmap
 import os
 import re
-import tempfile
 import unicodedata
 import uuid
 from collections import Counter
@@ -33,7 +32,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, only, remembers, slices
+from .common import id_and_text, only, remembers, shared_folder, slices
 
 # The white space of Unicode, and the split patterns of the two vocabularies.
 SPACE = "\t-\r \x85\xa0  -     　"
@@ -47,7 +46,8 @@ WORD_CHUNKS = re.compile(rf"[^{SPACE}]+")
 ODD = re.compile("[\x00-\x08\x0e-\x1f\x7f-\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff]")
 
 WORDS = 16_384
-CACHE = 500_000
+#: Chunks that a worker remembers, and their bytes.
+CACHE, CACHE_BYTES = 500_000, 32 << 20
 NO_PAIR = np.int32(2**31 - 1)
 
 
@@ -262,7 +262,7 @@ class Encoder:
     """Texts to ids: remembered chunks, then the automaton, then merges of a whole batch."""
 
     def __init__(self, vocabulary: Vocabulary, transducer: Transducer | None = None):
-        self.vocabulary, self.transducer, self.known = vocabulary, transducer, {}
+        self.vocabulary, self.transducer, self.known, self.bytes = vocabulary, transducer, {}, 0
         self.by_words = bool(vocabulary.end)
         self.chunks, self.pieces = (WORD_CHUNKS, WORD_PIECES) if self.by_words else (BYTE_CHUNKS, BYTE_PIECES)
         self.special = regex.compile("|".join(f"({regex.escape(x)})" for x in vocabulary.special)) if vocabulary.special else None
@@ -276,6 +276,7 @@ class Encoder:
 
     def learn(self, chunks: set) -> None:
         new = list(chunks - self.known.keys())
+        self.bytes += sum(map(len, new))
         if self.transducer:
             found = self.transducer.look_up([c.encode() for c in new])
             self.known.update((c, f) for c, f in zip(new, found, strict=True) if f is not None)
@@ -293,8 +294,9 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian uint32."""
-        if len(self.known) > CACHE:
+        if len(self.known) > CACHE or self.bytes > CACHE_BYTES:
             self.known.clear()
+            self.bytes = 0
         # texts without odd characters are split, numbered and put together by Arrow
         odd = [k for k, t in enumerate(texts) if (self.by_words and ODD.search(t)) or ("<|" in t and self.special and self.special.search(t))]
         out: list = [None] * len(texts)
@@ -363,6 +365,16 @@ def mapped(name: str) -> Transducer:
     return _loaded[name]
 
 
+def send_file(spark, name: str, content: bytes) -> None:
+    """Written to the shared folder, from where Spark gives each executor its copy."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(shared_folder(spark), name)
+    stream = path.getFileSystem(conf).create(path, True)
+    stream.write(bytearray(content))
+    stream.close()
+    spark.sparkContext.addFile(path.toString())
+
+
 def frequent_chunks(texts: DataFrame, words: int = WORDS) -> list[str]:
     """The most frequent chunks of all texts. Each task sends its own most frequent ones, a bounded
     number; which words are compiled changes the speed, never a result."""
@@ -392,10 +404,7 @@ def encoded(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_c
     encoder.learn(set(common))
     content = Transducer.build({w.encode(): encoder.known[w] for w in common})
     name = f"lexicon-{uuid.uuid4().hex}.bin"
-    folder = tempfile.mkdtemp()
-    with open(os.path.join(folder, name), "wb") as f:
-        f.write(content)
-    spark.sparkContext.addFile(os.path.join(folder, name))
+    send_file(spark, name, content)
     shared = spark.sparkContext.broadcast(data)  # the vocabulary file, of fixed size
 
     def run(batches):

@@ -110,15 +110,16 @@ def only(owner: str = "") -> None:
 
 
 class WordHashes(dict):
-    """word (bytes) -> 64-bit hash, remembering a bounded number of words."""
+    """word (bytes) -> 64-bit hash, remembering a bounded number of words of a bounded length."""
 
-    limit = 150_000
+    limit, longest = 150_000, 64
 
     def __missing__(self, word):
         h = xxhash.xxh3_64_intdigest(word)
-        if len(self) >= self.limit:
-            self.clear()
-        self[word] = h
+        if len(word) <= self.longest:
+            if len(self) >= self.limit:
+                self.clear()
+            self[word] = h
         return h
 
     def of(self, words: list) -> np.ndarray:

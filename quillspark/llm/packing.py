@@ -6,8 +6,10 @@ filled windows, kept in an array by level, becomes least.  When a partition ends
 filled windows are joined: pieces of the emptiest are cut to fill the fullest, and the last
 window is cut into lengths that are powers of two, which need no padding.
 
-A partition is packed by one task in one pass and without a shuffle; memory is bounded by
-one partially filled window a level.
+A partition is packed by one task in one pass and without a shuffle.  Partially filled windows are
+held until they are full: the sum of squares keeps their number about even over the levels, but
+no bound on it is proven, and in the worst case (all pieces over half a window) a task holds the
+remainders of its partition's documents, four bytes a token.
 
 Defined results: null text is the empty text, a document of its end id only.  Repeated rows are
 documents of their own.  An empty table gives no rows.
