@@ -135,8 +135,10 @@ def test_components(spark):
     assert components.connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
-def test_exact(spark, texts):
-    for some in (texts, *ODD_TABLES):
+@pytest.mark.parametrize("listed", [exact.LISTED, 0])
+def test_exact(spark, texts, listed, monkeypatch):
+    monkeypatch.setattr(exact, "LISTED", listed)  # 0: the routed texts pass a bitmap
+    for some in (texts, *ODD_TABLES, ["copy"] * 400 + ["other"] * 3 + ["lone"]):
         got = {r.doc_id: (r.keep_id, r.group_size, r.kept, r.text_sha256) for r in exact.exact_duplicates(frame(spark, some)).collect()}
         groups = defaultdict(list)
         for i, t in enumerate(some):
@@ -195,7 +197,88 @@ def test_merkle(spark, texts):
             assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
             assert r.fingerprint == merkle.Tree.of(t).fingerprint()
     a, b = merkle.Tree.of("one\ntwo\nthree"), merkle.Tree.of("one\nTWO\nthree")
-    assert [a.paragraphs[k][1:] for k in range(3) if a.paragraphs[k][1:] in a.edits(b)] == [a.paragraphs[1][1:]] and a.edits(a) == []
+    assert a.differing(b) == [a.paragraphs[1][1:]] and a.differing(a) == [] and merkle.compared(a, b)[1] == [a.paragraphs[1][1:]]
+
+
+def brute_compared(a, b):
+    """Likeness and edits from plain lists of sections, lines and runs of words."""
+
+    def parts(text):
+        sections, number = [[]], 0
+        for i, line in enumerate(lines := text.split("\n")):
+            words, runs = line.split(" "), []
+            if i == 0:
+                runs, words = [(w,) for w in words[:8]], words[8:]
+            runs += [tuple(words[k:k + 4]) for k in range(0, len(words), 4)]
+            sections[-1].append((line, list(range(number, number + len(runs))), runs))
+            number += len(runs)
+            if (not line or len(sections[-1]) == 16) and i + 1 < len(lines):
+                sections.append([])
+        return sections, number
+
+    def without(mine, theirs, key):
+        left, out = [key(x) for x in theirs], []
+        for x in mine:
+            if key(x) in left:
+                left.remove(key(x))
+            else:
+                out.append(x)
+        return out
+
+    (sa, na), (sb, nb) = parts(a), parts(b)
+    if a == b:
+        return 1.0, []
+    by_lines = lambda s: [p[0] for p in s]
+    pa_, pb = ([p for s in without(x, y, by_lines) for p in s] for x, y in ((sa, sb), (sb, sa)))
+    la, lb = ([(k, r) for p in without(x, y, lambda p: p[0]) for k, r in zip(p[1], p[2], strict=True)] for x, y in ((pa_, pb), (pb, pa_)))
+    gone = [k for k, _ in without(la, lb, lambda x: x[1])]
+    return min(2 * (na - len(gone)), na + nb - 1) / (na + nb), gone
+
+
+def test_merkle_likeness(spark, texts):
+    r = random.Random(11)
+    line = lambda: " ".join(r.choices("abcde", k=r.randint(0, 9)))
+    some = [t or "" for t in texts[::3]] + ["\n".join(line() for _ in range(r.randint(1, 50))) for _ in range(40)]
+    some += [t.replace("a", "b", 1) for t in some[-20:]]
+    rows = {x.doc_id: x for x in merkle.fingerprints(frame(spark, some)).collect()}
+    for i, t in enumerate(some):
+        after = some[i - 1]
+        near, gone = brute_compared(t, merkle.edited(t, after))
+        assert abs(rows[i].near_edited - near) < 1e-12 and [k for x in rows[i].edits for k in range(x.first, x.end)] == gone
+        assert abs(rows[i].near_next - brute_compared(t, after)[0]) < 1e-12
+
+
+def test_blocks(spark, monkeypatch):
+    from quillspark.llm import order
+
+    monkeypatch.setattr(order, "TARGET", 20_000)
+    spread = [(i, "x" * 84) for i in range(3000)] + [(2**60, "y")]
+    one_id = [(7, f"text {i} " + "z" * 76) for i in range(3000)]
+    no_id = [(None, f"text {i} " + "z" * 76) for i in range(3000)]
+    for rows in (spread, one_id, no_id, [(1, "a" * 100_000)], [(1, "")], []):
+        df, total = order.with_blocks(spark.createDataFrame(rows, "doc_id long, text string"), 2)
+        got = df.select("doc_id", "hash", "block", F.length("text").alias("n")).collect()
+        assert total == sum(len(t) + 16 for _, t in rows) and len(got) == len(rows)
+        ranked = sorted(got, key=lambda x: (x.doc_id is None, x.doc_id or 0, x.hash))
+        assert [x.block for x in ranked] == sorted(x.block for x in got)
+        if len(rows) > 2:
+            sizes = Counter()
+            for x in got:
+                sizes[x.block] += x.n + 16
+            assert len(sizes) >= 10 and max(sizes.values()) < 3 * 20_000
+
+
+@pytest.mark.parametrize("target", [200, 5_000])
+def test_repeats_and_prints_over_many_blocks(spark, texts, target, monkeypatch):
+    from quillspark.llm import order
+
+    monkeypatch.setattr(order, "TARGET", target)
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substrings.remove_repeats(frame(spark, texts)).collect()}
+    assert got == brute_repeats(texts)
+    rows = {r.doc_id: r for r in merkle.fingerprints(frame(spark, texts)).collect()}
+    assert all(rows[i].edited_sha256 == hashlib.sha256(merkle.edited(t or "", texts[i - 1] or "").encode()).hexdigest() for i, t in enumerate(texts))
+    odd = [(3, "a b"), (3, "a b"), (3, "c"), (None, "d"), (None, None)]
+    assert Counter(r.doc_id for r in merkle.fingerprints(spark.createDataFrame(odd, "doc_id long, text string")).collect()) == Counter([3, 3, 3, None, None])
 
 
 FUZZ = "abcdeXYZ'sStdréßÉçñΣσς0129²Ⅷ .,!?-_<|>\n\t\x1c\x1f\x85   　​İ́中文😀ﬁ"
