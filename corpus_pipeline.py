@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import exact, jaccard, packing, substrings, toxicity
-from quillspark.llm.common import checkpointed, read_table
+from quillspark.llm.common import read_table, shared_folder
 
 
 #: Names of columns that only live within a stage.
@@ -106,13 +106,20 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`; each result but the last is written to the shared folder and reread."""
+    """All stages over `documents`; each result but the last is written to the shared folder and
+    reread, and goes when the next one has been written."""
     docs = read_table(spark, sf_dir, "documents")
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        checkpointed(spark.range(0))  # sets a folder of our own
-    folder = f"{sc.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    written: list[str] = []
     for k, (name, stage) in enumerate(STAGES[:-1]):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
-        docs = spark.read.parquet(f"{folder}/{k}-{name}")
+        written.append(f"{folder}/{k}-{name}")
+        stage(spark, docs, sf_dir).write.parquet(written[-1])
+        docs = spark.read.parquet(written[-1])
+        if k:
+            _remove(spark, written[-2])
     return STAGES[-1][1](spark, docs, sf_dir)
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
