@@ -118,8 +118,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     routed = hashed.join(F.broadcast(repeated), "fp", "left_semi") if few else only_listed(hashed, repeated, "fp")
     # byte verification: equal fingerprints are copies only where the whole texts are equal
     same = routed.groupBy("text_sha256", "text").agg(F.max("doc_id").alias("keep"), F.count("*").alias("size"))
-    same = same.where("size > 1").select("text_sha256", "keep", F.col("size").alias("group_size"), "size")
-    out = spread_join(hashed.select("doc_id", "text_sha256"), same, ["text_sha256"], "size")
+    same = checkpointed(same.where("size > 1").select("text_sha256", "keep", F.col("size").alias("group_size"), "size"))
+    out = spread_join(hashed.select("doc_id", "text_sha256"), same, ["text_sha256"], "size", texts.count())
     return out.select(
         "doc_id",
         F.coalesce("keep", "doc_id").alias("keep_id"),

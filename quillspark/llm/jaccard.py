@@ -438,11 +438,13 @@ def jaccard_components(docs: DataFrame, n: int = 5, threshold: float = 0.8, id_c
     found = connected_components(links)
 
     # the smallest doc_id of each component, then of each class that is linked or has several rows
-    linked_nodes = found.join(nodes.select("node", "head"), "node")
-    least = linked_nodes.groupBy("component").agg(F.min("head").alias("least"), F.count("*").alias("size"))
-    named = spread_join(linked_nodes.select("node", "component"), least, ["component"], "size").select("node", "least")
-    answer = nodes.join(named, "node", "left").where("rows > 1 or least is not null").select(*CLASS, F.coalesce("least", "head").alias("answer"), "rows")
+    total = nodes.agg(F.sum("rows")).first()[0] or 0
+    members = found.join(nodes.select("node", "head"), "node")
+    least = members.groupBy("component").agg(F.min("head").alias("least"), F.count("*").alias("size"))
+    named = spread_join(members.select("node", "component"), least, ["component"], "size", total).select("node", "least")
+    answer = nodes.drop("bits").join(named, "node", "left").where("rows > 1 or least is not null")
+    answer = checkpointed(answer.select(*CLASS, F.coalesce("least", "head").alias("answer"), "rows"))
     own = sized.drop("bits")
-    out = spread_join(own.where("doc_id is not null and n > 0"), answer, CLASS, "rows")
+    out = spread_join(own.where("doc_id is not null and n > 0"), answer, CLASS, "rows", total)
     alone = own.where("doc_id is null or n = 0").withColumn("answer", F.lit(None).cast("long"))
     return out.unionByName(alone).select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("answer", "doc_id").alias("component_id"))
