@@ -385,11 +385,13 @@ def tiled(grouped: DataFrame, num: int, den: int) -> DataFrame:
     whole = per_band.groupBy("grp").agg(F.sum("rows").alias("g_rows"), F.sum("total").alias("g_total"))
     large = whole.where((F.col("g_rows") > BLOCK_ROWS) | (F.col("g_total") > BLOCK_SHINGLES)).select("grp")
     cut = F.greatest(F.ceil(F.col("rows") / BLOCK_ROWS), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("long")
-    plan = per_band.join(large, "grp").select("grp", "band", cut.alias("cut"))
+    plan = per_band.join(large, "grp").select("grp", "band", cut.alias("cut"), "rows")
     up = plan.select("grp", (F.col("band") - 1).alias("band"), F.col("cut").alias("cut_up"))
     down = plan.select("grp", (F.col("band") + 1).alias("band"), F.col("cut").alias("cut_down"))
     plan = plan.join(up, ["grp", "band"], "left").join(down, ["grp", "band"], "left").na.fill(0, ["cut_up", "cut_down"])
-    placed = grouped.join(plan, ["grp", "band"], "left").withColumn("block", F.pmod(F.xxhash64("node"), F.col("cut")))
+    plan = checkpointed(plan)  # of large groups only
+    rows = plan.agg(F.sum("rows")).first()[0] or 0
+    placed = spread_join(grouped, plan, ["grp", "band"], "rows", rows).withColumn("block", F.pmod(F.xxhash64("node"), F.col("cut")))
     name = lambda band, i, band2, j: F.xxhash64("grp", band, i, band2, j)
     none = F.array().cast("array<bigint>")
     up_to = lambda c: F.when(F.col(c) > 0, F.sequence(F.lit(0).cast("long"), F.col(c) - 1)).otherwise(none)
