@@ -81,7 +81,7 @@ PATTERNS = {
     "copd": (r"\bХОБЛ\b", r"хроническ\w+\s+обструктивн\w+\s+болезн\w*"),
     "diagnosis_icd": (r"\b([A-ZА-Я]\d{2}(?:\.\d{1,3})?)\b",),
     "dm": (r"сахарн\w+\s+диабет\w*", r"\bСД\s*[12I]", r"diabetes\s+mellitus"),
-    "hf": (r"((?:ХСН|ОСН)[^.;,\n]{0,40})",),
+    "hf": (r"(\b(?:ХСН|ОСН)\b[^.;,\n]{0,40})",),
     "killip": (r"killip\s*[-:]?\s*(IV|III|II|I|[1-4])\b",),
     "mi_localisation": (r"((?:передн|нижн|боков|диафрагм|латераль)\w*[^.;\n]{0,30}(?:стенк\w*|локализац\w*|инфаркт\w*))", r"инфаркт\w*\s+миокарда[^.;\n]{0,40}?((?:передн|нижн|боков)\w*)"),
     "type_acs": (r"((?:ОКС|инфаркт\w*\s+миокарда|ИМ)?\s*(?:с\s+(?:подъ[её]мом|элеваци\w*)|без\s+(?:подъ[её]ма|элеваци\w*))\s*(?:сегмента\s+)?ST)", r"(нестабильн\w+\s+стенокард\w*)", r"\b(N?STEMI)\b"),
@@ -128,10 +128,10 @@ DRUGS = {
 #: Own choice: the generic pack, for text without clinical content.
 GENERIC_PATTERNS = {
     "email": (r"([A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})",),
-    "ipv4": (r"(?<![\d.])((?:\d{1,3}\.){3}\d{1,3})(?![\d.])",),
-    "long_number": (r"(?<!\d)(\d{16})(?!\d)",),
-    "license": (r"(^[^\n]*\b(?:License|CC BY)[^\n]*)",),
-    "year": (r"(?<!\d)((?:19|20)\d{2})(?!\d)",),
+    "ipv4": (r"(?<![0-9.])((?:[0-9]{1,3}\.){3}[0-9]{1,3})(?![0-9.])",),
+    "long_number": (r"(?<![0-9])([0-9]{16})(?![0-9])",),
+    "license": (r"((?md)^[^\n]*\b(?i:license|cc by)[^\n]*)",),
+    "year": (r"(?<![0-9])((?:19|20)[0-9]{2})(?![0-9])",),
 }
 
 #: Own choice: words close to which a mention is denied.

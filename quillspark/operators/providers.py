@@ -13,13 +13,14 @@ import time
 import urllib.request
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from datetime import datetime
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import catalog as K
-from .extract import DISCHARGE, SCHEMA
+from .extract import COLUMNS, DISCHARGE, SCHEMA
 from .segment import regions, sentence_of, sentences, split_sections
 
 WORTH = {"local": 0.82, "api": 0.85}
@@ -76,6 +77,25 @@ def json_object(answer: str) -> dict:
     return out
 
 
+def well_formed(field: str, value: str) -> bool:
+    """Whether a text has the form of its field's kind: the same tests as of columns, for one answer."""
+    kind = K.KIND_OF[field]
+    if field == "diagnosis_icd":
+        return bool(re.fullmatch(r"[A-ZА-Яa-zа-я]\d{2}(?:\.\d{1,3})?", value))
+    if kind == "date":
+        try:
+            return bool(re.fullmatch(r"\d{2}\.\d{2}\.\d{4}", value)) and datetime.strptime(value, "%d.%m.%Y") is not None
+        except ValueError:
+            return False
+    if kind == "bp":
+        m = re.fullmatch(r"(\d{2,3})/(\d{2,3})", value)
+        return bool(m) and 50 <= int(m[1]) <= 300 and 20 <= int(m[2]) <= 200 and int(m[1]) >= int(m[2])
+    if kind == "number":
+        low, high = K.RANGES.get(field, (float("-inf"), float("inf")))
+        return bool(re.fullmatch(r"-?\d+(?:\.\d+)?", value)) and low <= float(value) <= high
+    return True
+
+
 def check_payload(payload: dict, text: str, fields) -> None:
     """Exactly the fields asked for, texts for values, exact quotes for evidence."""
     if set(payload) != set(fields):
@@ -87,6 +107,8 @@ def check_payload(payload: dict, text: str, fields) -> None:
         closed = K.CLOSED.get(f, "").split() or (["0", "1"] if K.KIND_OF[f] == "binary" else [])
         if closed and value not in (*closed, K.MISSING):
             raise ValueError(f"{f}: {value!r} is not allowed")
+        if value != K.MISSING and not well_formed(f, value):
+            raise ValueError(f"{f}: {value!r} has not the form of a {K.KIND_OF[f]}")
         if quote and quote not in text:
             raise ValueError(f"{f}: the evidence is not a quote")
         if not quote and value not in ABSENT:
@@ -103,7 +125,7 @@ def payload_rows(payload: dict, text: str, source: str) -> list[dict]:
         at = text.find(quote) if quote else -1
         coded = at < 0 and value in ABSENT
         worth = WORTH.get(source, 0.8)
-        row = {"field": f, "ord": k, "value": value, "source": source, "confidence": worth if at >= 0 or coded else max(0.20, worth - 0.35), "raw_value": value, "absence": coded, "denied": False, "start": at, "end": at + len(quote) if at >= 0 else -1, "evidence": quote if at >= 0 else "", "sentence": ""}
+        row = {"field": f, "ord": k, "value": value, "source": source, "confidence": worth if at >= 0 or coded else max(0.20, worth - 0.35), "raw_value": value, "absence": coded, "denied": False, "start": at, "end": at + len(quote) if at >= 0 else -1, "evidence": quote if at >= 0 else "", "sentence": "", "placed": at >= 0}
         if at >= 0:
             a, b = sentence_of(spans, at, at + len(quote))
             row["sentence"] = text[a:b]
@@ -146,7 +168,6 @@ def provider_candidates(docs: DataFrame, asked: DataFrame, provider: Callable[[s
     want = asked.groupBy("doc_id").agg(F.array_sort(F.collect_set("field")).alias("fields"))
     rows = docs.select("doc_id", "text").join(want, "doc_id")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    columns = ["doc_id", "field", "ord", "value", "source", "confidence", "evidence", "start", "end", "sentence", "raw_value", "absence", "denied"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -157,7 +178,7 @@ def provider_candidates(docs: DataFrame, asked: DataFrame, provider: Callable[[s
                     out += [{"doc_id": i, "error": None} | r for r in found]
                 except Exception as e:
                     out.append({"doc_id": i, "error": f"{type(e).__name__}: {e}"[:300]})
-            yield pd.DataFrame(out, columns=[*columns, "error"]).astype(object).where(lambda x: x.notna(), None)
+            yield pd.DataFrame(out, columns=[*COLUMNS, "error"]).astype(object).where(lambda x: x.notna(), None)
 
     both = rows.mapInPandas(run, SCHEMA.format(id=kind) + ", error string")
     return both.where("error IS NULL").drop("error"), both.where("error IS NOT NULL").select("doc_id", "error")

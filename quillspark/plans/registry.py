@@ -177,7 +177,7 @@ def file_scores(spark, sf_dir):
 def document_file_scores(spark, sf_dir):
     """Generic pack over documents: spans, candidates, arbitration, one score a document."""
     docs = documents(spark, sf_dir)
-    found = arbitrate.checked(extract.pack_candidates(docs), docs)
+    found = arbitrate.checked(extract.pack_candidates(docs))
     decisions = arbitrate.complete(arbitrate.decide(arbitrate.scored(found)), docs, list(GENERIC_PATTERNS))
     return arbitrate.file_scores(decisions, n_fields=len(GENERIC_PATTERNS)).select("doc_id", "extracted_fields", "direct_fields", "conflicts", "coverage", "file_score", "file_label")
 
@@ -190,7 +190,7 @@ def flagship(spark, sf_dir):
 def clinical_records(spark, sf_dir):
     """The clinical rules over documents, as wide records of 50 texts."""
     docs = documents(spark, sf_dir)
-    found = arbitrate.checked(extract.clinical_candidates(docs), docs)
+    found = arbitrate.checked(extract.clinical_candidates(docs))
     return arbitrate.wide(arbitrate.postprocessed(arbitrate.complete(arbitrate.decide(arbitrate.scored(found)), docs)))
 
 

@@ -60,7 +60,7 @@ def test_evidence(spark):
     text = "😀 Гемоглобин 120,5 г/л."
     rows = [("120.5", "Гемоглобин 120,5", 2, 18, True), ("121", "Гемоглобин 120,5", 2, 18, False), ("1", "Гемоглобин 120,5", 2, 18, True), ("120.5", "Гемоглобин 120,5", 3, 19, False), (MISSING, "", -1, -1, True)]
     df = spark.createDataFrame([(*r, text) for r in rows], "v string, e string, s int, t int, want boolean, text string")
-    got = df.select("want", N.value_supported("v", "e", "e", "s", "t", "text").alias("got")).collect()
+    got = df.select("want", N.value_supported("v", "e", "e", N.placed_in("e", "s", "t", "text")).alias("got")).collect()
     assert all(r.got == r.want for r in got)
 
 
