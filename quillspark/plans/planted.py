@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import normalize as N
 from ..functions.catalog import FIELDS, GENERIC_PATTERNS, MISSING
-from ..operators import arbitrate, extract
+from ..operators import anonymize, arbitrate, extract
 from . import pipeline
 from .registry import _QUERIES, _SQL, documents, query, table
 
@@ -136,6 +136,78 @@ def letter_records(spark, sf_dir):
     return pipeline.preview(letters(spark, sf_dir), typos=False).flat.select("doc_id", *[F.col(f"`{f}`") for f in FIELDS])
 
 
+
+# --- personal data ---------------------------------------------------------------------------
+
+_IDENTITY = """ФИО: Иванов{s} Пётр Сергеевич, дата рождения: {dd}.0{m}.19{yy}, возраст: {age} лет.
+Тел. +7 (912) {ppp}-{dd}-{yy}, e-mail: user{k}@mail{m}.example.org, паспорт 45 {yy} {six}, СНИЛС {ppp}-{ppp}-{ppp} {dd}.
+Полис ОМС {sixteen}; карта {four} {four} {four} {four}; ИНН {ten}; ip 10.{m}.{dd}.{yy}; логин: user_{k}
+Адрес: г. Город, ул. Новая, д. {k}; история болезни № {six}/{yy}
+Больной {age} лет, мужчина. Болеет {m} лет, осмотр {dd}.0{m}.2021.
+Анамнез жизни: работает инженером {m} смену; перенёс операцию. Проживает один
+Лечащий Сидоров А.Б., подпись."""
+_REDACTED = """ФИО: <PERSON_1>, дата рождения: <DOB_1>, возраст: <AGE_1>.
+Тел. <PHONE_1>, e-mail: <EMAIL_1>, паспорт <PASSPORT_1>, СНИЛС <SNILS_1>.
+Полис ОМС <OMS_1>; карта <LONG_NUMBER_1>; ИНН <ID_NUMBER_1>; ip <IP_1>; логин: <USERNAME_1>
+Адрес: <ADDRESS_1>; история болезни № <MED_RECORD_1>
+Больной <AGE_2> лет, мужчина. Болеет <AGE_3> лет, осмотр {day}.
+Анамнез жизни: <BIO_1>; перенёс операцию. <BIO_2>
+Лечащий <PERSON_2>, подпись."""
+_PARTS = {
+    "k": "c_custkey", "s": "['', 'ев', 'ский'][1 + c_custkey % 3]", "m": "1 + c_custkey % 9", "dd": "10 + c_custkey % 18", "yy": "30 + c_custkey % 60", "age": "20 + c_custkey % 70",
+    "ppp": "100 + c_custkey % 900", "six": "100000 + c_custkey % 900000", "four": "1000 + c_custkey % 9000", "ten": "1000000000 + c_custkey", "sixteen": "1000000000000000 + c_custkey",
+}
+
+
+def identities(spark, sf_dir):
+    """(doc_id, text): a text full of personal data a customer."""
+    c = table(spark, sf_dir, "customer")
+    parts = {n: F.expr(f"string({e})") for n, e in _PARTS.items() if n != "s"} | {"s": F.element_at(F.array(*map(F.lit, ("", "ев", "ский"))), F.expr("int(1 + c_custkey % 3)"))}
+    return c.select(F.col("c_custkey").alias("doc_id"), _filled(_IDENTITY, parts).alias("text"))
+
+
+def _sql_text(template: str, parts: dict) -> str:
+    out = []
+    for piece in template.replace("{", "\0{").replace("}", "}\0").split("\0"):
+        out.append(f"({parts[piece[1:-1]]})::VARCHAR" if piece.startswith("{") else "'" + piece.replace("'", "''") + "'")
+    return " || ".join(out)
+
+
+def _redaction(mode: str) -> str:
+    day = _sql_text("{dd}.0{m}.2021", _PARTS) if mode == "clinical" else "'<DATE_1>'"
+    text = _sql_text(_REDACTED, {"day": day})
+    return f"""WITH r AS (SELECT c_custkey AS doc_id, {_sql_text(_IDENTITY, _PARTS)} AS text, {text} AS redacted FROM customer)
+SELECT doc_id, redacted, {19 if mode == "clinical" else 20}::BIGINT AS n_spans, TRUE AS safe, sha256(text) AS input_sha256, sha256(redacted) AS output_sha256 FROM r"""
+
+
+def _anonymized(spark, sf_dir, mode):
+    out = anonymize.anonymize(identities(spark, sf_dir), mode)
+    return out.select("doc_id", "redacted", F.size("spans").cast("long").alias("n_spans"), "safe", "input_sha256", "output_sha256")
+
+
+@query(_redaction("clinical"))
+def identities_redacted(spark, sf_dir):
+    """All detectors over texts of which every identifier is known."""
+    return _anonymized(spark, sf_dir, "clinical")
+
+
+@query(_redaction("strict"))
+def identities_redacted_strictly(spark, sf_dir):
+    return _anonymized(spark, sf_dir, "strict")
+
+
+@query("""WITH s AS (SELECT l_suppkey AS doc_id, (l_orderkey * 10)::INT AS a, (l_orderkey * 10 + l_quantity)::INT AS b, ['X', 'Y', 'Z'][1 + l_linenumber % 3] AS kind FROM lineitem),
+m AS (SELECT *, max(b) OVER w AS before FROM s WINDOW w AS (PARTITION BY doc_id ORDER BY a, b DESC, kind ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+i AS (SELECT *, sum(CASE WHEN before IS NULL OR a >= before THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY a, b DESC, kind ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS island FROM m WHERE before IS NULL OR b > before)
+SELECT doc_id, min(a) AS "start", max(b) AS "end", CASE WHEN count(DISTINCT kind) = 1 THEN any_value(kind) ELSE 'PII' END AS kind FROM i GROUP BY doc_id, island""")
+def span_islands(spark, sf_dir):
+    """The merge that redaction uses."""
+    kind = F.element_at(F.array(*map(F.lit, "XYZ")), F.expr("int(1 + l_linenumber % 3)"))
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("doc_id"), F.struct(F.expr("int(l_orderkey * 10)").alias("start"), F.expr("int(l_orderkey * 10 + l_quantity)").alias("end"), kind.alias("kind")).alias("x"))
+    merged = rows.groupBy("doc_id").agg(F.collect_list("x").alias("s")).select("doc_id", F.explode(anonymize.merged_column(F.col("s"))).alias("x"))
+    return merged.select("doc_id", "x.*")
+
+
 def queries() -> dict:
     return dict(_QUERIES)
 
