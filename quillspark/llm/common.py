@@ -64,25 +64,6 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-#: A key with fewer rows is never joined apart.
-HEAVY = 256
-
-
-def spread_join(left: DataFrame, right: DataFrame, keys: list[str], weight: str, total: int, how: str = "left") -> DataFrame:
-    """left (of `total` rows) joined with right, which has one row a key and the number of left's
-    rows with that key as `weight`.  Keys that hold more than a quarter of a task's even share are
-    gathered and broadcast, so that their rows stay where they are: as each holds that many, there
-    are at most four a partition.  All others meet by a shuffle."""
-    spark = left.sparkSession
-    bound = max(HEAVY, total // (4 * n_partitions(spark)))
-    heavy = right.where(F.col(weight) > bound).collect() if total > bound else []
-    if not heavy:
-        return left.join(right.drop(weight), keys, how)
-    few = F.broadcast(spark.createDataFrame(heavy, right.schema).drop(weight))
-    rest = left.join(few.select(*keys), keys, "left_anti").join(right.drop(weight), keys, how)
-    return left.join(few, keys).unionByName(rest)
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """splitmix64's finaliser, element by element."""
     x = x ^ (x >> U64(30))

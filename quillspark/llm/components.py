@@ -1,17 +1,17 @@
 """Connected components of an edge table by alternating large-star and small-star rounds.
 
-Each round is a partially aggregated minimum a vertex and an equi-join.  Vertices that hold more than
-a quarter of a task's even share of the edges, at most eight a partition, are found first, and
-their edges meet their minimum by a broadcast instead of in one task.  Nothing is collected but
-these vertices and one row of convergence counters a round.
+Each round is a partially aggregated minimum a vertex and an equi-join.  The minima come to the join
+by an exchange of their own, not in the partitions of their aggregate, so that Spark can split the
+edges of a vertex with very many neighbours over several tasks.  Nothing is collected but one row
+of convergence counters a round.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import HEAVY, checkpointed, n_partitions
+from .common import checkpointed
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -22,38 +22,24 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """
     e = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
     e, before = checkpointed(e), None
-    n = e.count()
-    while n:
-        heavy = _heavy(e, n)
+    while True:
         # large-star: a vertex's larger neighbours hang on its smallest neighbour, or on itself
-        low = e.groupBy(F.col("u").alias("v")).agg(F.min("v").alias("m"))
-        large = _meet(e, low, "v", heavy).select("u", F.coalesce("m", "v").alias("v")).distinct()
+        low = e.groupBy("u").agg(F.min("v").alias("m")).select(_anew("u").alias("v"), "m")
+        large = e.join(low, "v", "left").select("u", F.coalesce("m", "v").alias("v")).distinct()
         # small-star: a vertex and its smaller neighbours hang on the smallest of them
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = large.groupBy("u").agg(F.min("v").alias("m")).select(_anew("u").alias("u"), "m")
         ends = F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
-        small = _meet(large, low, "u", heavy).select(F.explode(ends).alias("x")).select("x.*").where("u <> v")
+        small = large.select(_anew("u").alias("u"), "v").join(low, "u").select(F.explode(ends).alias("x")).select("x.*").where("u <> v")
         e = checkpointed(small.distinct())
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break
-        before, n = now, now[0]
+        before = now
     roots = e.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
     return roots.unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def _heavy(e: DataFrame, n: int) -> list[int]:
-    """The vertices with very many larger or very many smaller neighbours."""
-    bound = max(HEAVY, n // (4 * n_partitions(e.sparkSession)))
-    if n <= bound:
-        return []
-    ends = e.select(F.explode(F.array(F.struct("u", F.lit(0).alias("side")), F.struct(F.col("v").alias("u"), F.lit(1).alias("side")))).alias("x"))
-    counted = ends.groupBy("x").agg(F.count("*").alias("degree")).where(F.col("degree") > bound)
-    return sorted({r.u for r in counted.select("x.u").collect()})
 
-
-def _meet(left: DataFrame, right: DataFrame, key: str, heavy: list[int]) -> DataFrame:
-    if not heavy:
-        return left.join(right, key, "left")
-    listed = F.col(key).isin(heavy)
-    hot = left.where(listed).join(F.broadcast(right.where(listed)), key, "left")
-    return hot.unionByName(left.where(~listed).join(right.where(~listed), key, "left"))
+def _anew(key: str) -> Column:
+    """The same number as an expression that no partitioning is known for: a join deals it anew."""
+    return F.col(key).bitwiseXOR(F.lit(0).cast("long"))

@@ -7,8 +7,8 @@ their sorted remainders and adding counts.  Only fingerprints whose merged count
 one are routed on: the texts behind them are grouped byte by byte, with partial aggregation
 on the map side, so a text with any number of copies leaves each task once.  Other texts are not
 moved: routed fingerprints are broadcast up to a counted bound, beyond it as a bitmap of fixed size
-that lets some others through, which the groups sort out.  Groups with a large share of all rows
-are broadcast to those rows, so no task gets a whole group.
+that lets some others through, which the groups sort out.  Groups come back to
+their rows from a checkpoint by a plain join, of which Spark can split the partition of a large group.
 
 Defined results: null text is the empty text, and empty texts are copies of each other.
 Repeated rows are copies too; rows that share doc_id and text are all marked kept when that
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bloom import only_listed
-from .common import U64, checkpointed, id_and_text, n_partitions, spread_join
+from .common import U64, checkpointed, id_and_text, n_partitions
 
 
 class CountingQuotientFilter:
@@ -118,8 +118,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     routed = hashed.join(F.broadcast(repeated), "fp", "left_semi") if few else only_listed(hashed, repeated, "fp")
     # byte verification: equal fingerprints are copies only where the whole texts are equal
     same = routed.groupBy("text_sha256", "text").agg(F.max("doc_id").alias("keep"), F.count("*").alias("size"))
-    same = checkpointed(same.where("size > 1").select("text_sha256", "keep", F.col("size").alias("group_size"), "size"))
-    out = spread_join(hashed.select("doc_id", "text_sha256"), same, ["text_sha256"], "size", texts.count())
+    same = checkpointed(same.where("size > 1").select("text_sha256", "keep", F.col("size").alias("group_size")))
+    out = hashed.select("doc_id", "text_sha256").join(same, "text_sha256", "left")
     return out.select(
         "doc_id",
         F.coalesce("keep", "doc_id").alias("keep_id"),

@@ -20,7 +20,8 @@ comparison a member, and spanning links are all that leaves.
 
 Identity.  What is compared are classes of equal sets, each a numbered node with its smallest
 doc_id; texts come back by that doc_id and count only where their set is the class's own.  Classes
-with a large share of all rows meet those rows by a broadcast of bounded size.
+come back to their rows from a checkpoint by a plain join, of which Spark can split the partition
+of a class with a large share of all rows.
 
 Defined results: null or empty text, or text without words: empty set, linked with nothing
 (component_id is its own doc_id).  Fewer than n words: the whole sequence is one shingle.
@@ -40,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, WordHashes, checkpointed, id_and_text, mix, n_partitions, only, pack_sorted, remembers, slices, spread_join, unpack_sorted, windows
+from .common import U64, WordHashes, checkpointed, id_and_text, mix, n_partitions, only, pack_sorted, remembers, slices, unpack_sorted, windows
 from .bloom import only_listed
 from .components import connected_components
 
@@ -385,13 +386,12 @@ def tiled(grouped: DataFrame, num: int, den: int) -> DataFrame:
     whole = per_band.groupBy("grp").agg(F.sum("rows").alias("g_rows"), F.sum("total").alias("g_total"))
     large = whole.where((F.col("g_rows") > BLOCK_ROWS) | (F.col("g_total") > BLOCK_SHINGLES)).select("grp")
     cut = F.greatest(F.ceil(F.col("rows") / BLOCK_ROWS), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("long")
-    plan = per_band.join(large, "grp").select("grp", "band", cut.alias("cut"), "rows")
+    plan = per_band.join(large, "grp").select("grp", "band", cut.alias("cut"))
     up = plan.select("grp", (F.col("band") - 1).alias("band"), F.col("cut").alias("cut_up"))
     down = plan.select("grp", (F.col("band") + 1).alias("band"), F.col("cut").alias("cut_down"))
     plan = plan.join(up, ["grp", "band"], "left").join(down, ["grp", "band"], "left").na.fill(0, ["cut_up", "cut_down"])
     plan = checkpointed(plan)  # of large groups only
-    rows = plan.agg(F.sum("rows")).first()[0] or 0
-    placed = spread_join(grouped, plan, ["grp", "band"], "rows", rows).withColumn("block", F.pmod(F.xxhash64("node"), F.col("cut")))
+    placed = grouped.join(plan, ["grp", "band"], "left").withColumn("block", F.pmod(F.xxhash64("node"), F.col("cut")))
     name = lambda band, i, band2, j: F.xxhash64("grp", band, i, band2, j)
     none = F.array().cast("array<bigint>")
     up_to = lambda c: F.when(F.col(c) > 0, F.sequence(F.lit(0).cast("long"), F.col(c) - 1)).otherwise(none)
@@ -440,13 +440,12 @@ def jaccard_components(docs: DataFrame, n: int = 5, threshold: float = 0.8, id_c
     found = connected_components(links)
 
     # the smallest doc_id of each component, then of each class that is linked or has several rows
-    total = nodes.agg(F.sum("rows")).first()[0] or 0
     members = found.join(nodes.select("node", "head"), "node")
-    least = members.groupBy("component").agg(F.min("head").alias("least"), F.count("*").alias("size"))
-    named = spread_join(members.select("node", "component"), least, ["component"], "size", total).select("node", "least")
+    least = checkpointed(members.groupBy("component").agg(F.min("head").alias("least")))
+    named = members.select("node", "component").join(least, "component")
     answer = nodes.drop("bits").join(named, "node", "left").where("rows > 1 or least is not null")
-    answer = checkpointed(answer.select(*CLASS, F.coalesce("least", "head").alias("answer"), "rows"))
+    answer = checkpointed(answer.select(*CLASS, F.coalesce("least", "head").alias("answer")))
     own = sized.drop("bits")
-    out = spread_join(own.where("doc_id is not null and n > 0"), answer, CLASS, "rows", total)
+    out = own.where("doc_id is not null and n > 0").join(answer, CLASS, "left")
     alone = own.where("doc_id is null or n = 0").withColumn("answer", F.lit(None).cast("long"))
     return out.unionByName(alone).select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("answer", "doc_id").alias("component_id"))

@@ -89,14 +89,17 @@ def test_jaccard_rows_of_one_id(spark, monkeypatch):
         assert Counter((r.doc_id, r.component_id) for r in got) == want
 
 
-def test_jaccard_heavy_class(spark, monkeypatch):
-    from quillspark.llm import common
-
-    monkeypatch.setattr(common, "HEAVY", 3)
+def test_jaccard_heavy_class(spark):
+    """With joins that split the partition of a heavy key."""
+    small = {"autoBroadcastJoinThreshold": "-1", "adaptive.advisoryPartitionSizeInBytes": "1k", "adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k", "adaptive.skewJoin.skewedPartitionFactor": "1.1"}
+    for k, v in small.items():
+        spark.conf.set(f"spark.sql.{k}", v)
     r = random.Random(5)
     base = [" ".join(r.choices("abcdefgh", k=50)) for _ in range(6)]
     some = base[:1] * 60 + base + [base[0] + " x"] * 30 + [base[1] + f" y{i}" for i in range(25)]
     got = {x.doc_id: x.component_id for x in jaccard.jaccard_components(frame(spark, some), 3, 0.8).collect()}
+    for k in small:
+        spark.conf.unset(f"spark.sql.{k}")
     assert got == {i: c for i, (_, c) in brute_components(some, 3, 0.8).items()}
 
 
