@@ -7,6 +7,7 @@ cannot clash with the operators' own.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 
 import numpy as np
@@ -74,6 +75,10 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 _caches: dict = {}
+try:  # hands back what a worker has freed; other C libraries do without
+    _libc = ctypes.CDLL("libc.so.6")
+except OSError:
+    _libc = None
 
 
 def remembers(owner: str, clear) -> None:
@@ -87,6 +92,8 @@ def only(owner: str = "") -> None:
         if name != owner:
             clear()
     pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
 
 
 class WordHashes(dict):
