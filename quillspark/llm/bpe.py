@@ -47,7 +47,7 @@ ODD = re.compile("[\x00-\x08\x0e-\x1f\x7f-\xa0\u1680\u180e\u2000-\u200f\u2028-\u
 
 WORDS = 16_384
 #: Chunks that a worker remembers, and their bytes.
-CACHE, CACHE_BYTES = 500_000, 32 << 20
+CACHE, CACHE_BYTES = 300_000, 32 << 20
 NO_PAIR = np.int32(2**31 - 1)
 
 
