@@ -5,12 +5,14 @@ Everything is read and written by Spark, so paths may lie in any store that Spar
 
 from __future__ import annotations
 
+import io
 import json
 import os
 import re
 import tomllib
+import zipfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.catalog import FIELDS, GROUPS, MISSING
@@ -47,11 +49,41 @@ def manifest_rows(lines: DataFrame) -> DataFrame:
     return out.where("path IS NOT NULL AND path <> ''").select("path", F.coalesce("id", stem).alias("doc_id"), "output")
 
 
+def resolved(path: Column, base: str) -> Column:
+    """A listed path as an absolute one without a scheme; relative paths are below the base."""
+    home = re.sub(r"^[a-z][a-z0-9+.-]*:(//[^/]*)?", "", base).rstrip("/")
+    plain = F.replace(F.regexp_replace(path, r"^[a-z][a-z0-9+.-]+:(//[^/]*)?", ""), F.lit("\\"), F.lit("/"))
+    whole = F.when(plain.startswith("/"), plain).otherwise(F.concat(F.lit(home + "/"), plain))
+    return F.regexp_replace(F.regexp_replace(whole, r"/(?:\./)+", "/"), "/+", "/")
+
+
+def texts_at(spark: SparkSession, paths: DataFrame, base: str, most: int = 100_000) -> DataFrame:
+    """(file, text): the files that are listed in paths (file), whatever they are called.  The list is
+    as large as a driver's batch; longer ones are read as the folder below the base."""
+    listed = [r.file for r in paths.select("file").distinct().limit(most + 1).collect()]
+    scheme = m[0] if (m := re.match(r"^[a-z][a-z0-9+.-]*:(//[^/]*)?", base)) else ""
+    if len(listed) > most:
+        raw = spark.read.option("recursiveFileLookup", "true").text(base, wholetext=True)
+    else:
+        there = [scheme + f for f in listed if _exists(spark, scheme + f)]
+        if not there:
+            return spark.createDataFrame([], "file string, text string")
+        raw = spark.read.text(there, wholetext=True)
+    place = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    return raw.select(F.regexp_replace(place, r"^[a-z][a-z0-9+.-]*:(//[^/]*)?", "").alias("file"), F.regexp_replace("value", "^\ufeff", "").alias("text"))
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    sc = spark.sparkContext
+    target = sc._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(sc._jsc.hadoopConfiguration()).exists(target)
+
+
 def manifest(spark: SparkSession, path: str, base: str) -> DataFrame:
-    """The documents that a manifest lists, relative to a folder; files that are not there have a null text."""
-    rows = manifest_rows(spark.read.text(path))
-    files = folder(spark, base).select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), "text")
-    return rows.withColumn("file", F.regexp_extract("path", r"([^/\\]+)$", 1)).join(files, "file", "left").select("doc_id", "text", "path", "output")
+    """(doc_id, text, path, output): the documents that a manifest lists, by absolute paths or relative
+    to a folder; each line is one document, and files that are not there have a null text."""
+    rows = manifest_rows(spark.read.text(path)).withColumn("file", resolved(F.col("path"), base))
+    return rows.join(texts_at(spark, rows, base), "file", "left").select("doc_id", "text", "path", "output")
 
 
 def expand_environment(value, env=None):
@@ -115,11 +147,43 @@ def baseline(spark: SparkSession, path: str) -> DataFrame:
         return spark.createDataFrame([], "field string, presence_rate double")
 
 
-def write_records(records: DataFrame, out: str, kind: str) -> None:
-    """result, score or context rows (doc_id, json) as text files, one folder a document."""
-    suffix = {"result": "", "score": "_score", "context": "_context"}[kind]
-    rows = records.select(F.concat(F.col("doc_id").cast("string"), F.lit(suffix)).alias("stem"), F.col("json").alias("value"))
-    rows.write.mode("overwrite").partitionBy("stem").text(f"{out}/{kind}")
+#: Folders of the three files of a document, and what follows its name.
+ARTEFACTS = {"result": "", "score": "_score", "context": "_context"}
+
+
+def write_records(records: DataFrame, out: str, kind: str) -> DataFrame:
+    """result/{stem}.json, score/{stem}_score.json or context/{stem}_context.json of rows (doc_id, json),
+    UTF-8 as it is.  A file a document is an export for people: the driver writes them one after another
+    as partitions arrive, holding one partition.  Returns (doc_id, path)."""
+    spark = records.sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    folder = f"{out.rstrip('/')}/{kind}"
+    fs = jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(conf)
+    fs.mkdirs(jvm.org.apache.hadoop.fs.Path(folder))
+    done = []
+    for r in records.select(F.col("doc_id").cast("string").alias("doc_id"), "json").toLocalIterator():
+        path = f"{folder}/{r.doc_id}{ARTEFACTS[kind]}.json"
+        stream = fs.create(jvm.org.apache.hadoop.fs.Path(path), True)
+        stream.write(bytearray((r.json or "").encode()))
+        stream.close()
+        done.append((r.doc_id, path))
+    return spark.createDataFrame(done, "doc_id string, path string")
+
+
+def export_zip(spark: SparkSession, out: str, target: str) -> int:
+    """The final records of a folder, without scores and contexts, as one archive; how many there are."""
+    sc = spark.sparkContext
+    raw = spark.read.option("pathGlobFilter", "*.json").option("recursiveFileLookup", "true").format("binaryFile").load(out)
+    name = F.regexp_extract("path", r"([^/]+)$", 1)
+    rows = raw.select(name.alias("name"), "content").where(~name.rlike(r"_(?:score|context)\.json$")).orderBy("name")
+    body = io.BytesIO()
+    with zipfile.ZipFile(body, "w", zipfile.ZIP_DEFLATED) as z:
+        names = [z.writestr(r.name, bytes(r.content)) or r.name for r in rows.toLocalIterator()]
+    path = sc._jvm.org.apache.hadoop.fs.Path(target)
+    stream = path.getFileSystem(sc._jsc.hadoopConfiguration()).create(path, True)
+    stream.write(bytearray(body.getvalue()))
+    stream.close()
+    return len(names)
 
 
 def run_summary(items: DataFrame) -> DataFrame:
@@ -132,20 +196,35 @@ def exit_code(items: DataFrame) -> int:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).option("encoding", "UTF-8").csv(path)
-
-
-def save_state(df: DataFrame, path: str) -> None:
-    """A batch's state as Parquet: written aside, then moved, so readers see the old or the new one."""
-    jvm = df.sparkSession.sparkContext._jvm
-    conf = df.sparkSession.sparkContext._jsc.hadoopConfiguration()
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    fs = target.getFileSystem(conf)
-    aside = jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + ".new")
-    df.write.mode("overwrite").parquet(aside.toString())
-    fs.delete(target, True)
-    if not fs.rename(aside, target):
-        raise OSError(f"cannot replace {path}")
+    """CSV files with a header that begins with a byte-order mark, so that spreadsheets read UTF-8."""
+    first, *rest = df.columns
+    df.select(F.col(f"`{first}`").alias("\ufeff" + first), *[F.col(f"`{c}`") for c in rest]).write.mode("overwrite").option("header", True).option("encoding", "UTF-8").csv(path)
+
+
+def save_state(df: DataFrame, path: str) -> str:
+    """A batch's state: a new version beside the old ones, then the name of the version in a pointer
+    that is made in one step, so a reader sees the old state or the new one.  Returns the
+    version's folder."""
+    sc = df.sparkSession.sparkContext
+    at = lambda p: sc._jvm.org.apache.hadoop.fs.Path(p)
+    fs = at(path).getFileSystem(sc._jsc.hadoopConfiguration())
+    old = [int(s.getPath().getName()[1:]) for s in fs.globStatus(at(path.rstrip("/") + "/v[0-9]*")) or []]
+    version = f"{path.rstrip('/')}/v{max(old, default=0) + 1}"
+    df.write.parquet(version)
+    pointer = at(f"{path.rstrip('/')}/current-{version.rsplit('v', 1)[1].zfill(12)}")
+    fs.create(pointer, False).close()  # one atomic step; the largest pointer counts
+    for k in sorted(old)[:-1]:
+        fs.delete(at(f"{path.rstrip('/')}/current-{str(k).zfill(12)}"), False)
+        fs.delete(at(f"{path.rstrip('/')}/v{k}"), True)
+    return version
+
+
+def load_state(spark: SparkSession, path: str) -> DataFrame | None:
+    """The state that the largest pointer names; None before the first one."""
+    sc = spark.sparkContext
+    root = sc._jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + "/current-*")
+    names = [s.getPath().getName() for s in root.getFileSystem(sc._jsc.hadoopConfiguration()).globStatus(root) or []]
+    return spark.read.parquet(f"{path.rstrip('/')}/v{int(max(names).split('-')[1])}") if names else None
 
 
 def fields_of(record: dict) -> dict[str, str]:

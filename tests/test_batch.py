@@ -82,13 +82,39 @@ def test_folder_and_manifest(spark, tmp_path):
     assert rows == {"first": "текст\nвторой", "b": "b", "missing": None}
 
 
+def test_manifest_of_equal_names(spark, tmp_path):
+    for k in "pq":
+        (tmp_path / k).mkdir()
+        (tmp_path / k / "same.md").write_text(k)
+    (tmp_path / "q/other name+.dat").write_text("x")
+    lines = ['{"path": "p/same.md", "id": "one"}', '{"path": "q/./same.md", "id": "two"}', str(tmp_path / "q/other name+.dat")]
+    (tmp_path / "m.jsonl").write_text("\n".join(lines))
+    rows = sorted((r.doc_id, r.text) for r in files.manifest(spark, str(tmp_path / "m.jsonl"), str(tmp_path)).collect())
+    assert rows == [("one", "p"), ("other name+", "x"), ("two", "q")]
+
+
+def test_artefacts_and_archive(spark, tmp_path):
+    import zipfile
+
+    rows = spark.createDataFrame([("a", '{"x": "ё"}'), ("b", "{}")], "doc_id string, json string")
+    for kind in files.ARTEFACTS:
+        files.write_records(rows, str(tmp_path / "out"), kind)
+    assert (tmp_path / "out/result/a.json").read_text(encoding="utf-8") == '{"x": "ё"}'
+    assert (tmp_path / "out/score/b_score.json").exists() and (tmp_path / "out/context/a_context.json").exists()
+    assert files.export_zip(spark, str(tmp_path / "out"), str(tmp_path / "all.zip")) == 2
+    assert sorted(zipfile.ZipFile(tmp_path / "all.zip").namelist()) == ["a.json", "b.json"]
+    files.write_csv(rows, str(tmp_path / "csv"))
+    assert next((tmp_path / "csv").glob("part-*")).read_bytes().startswith(b"\xef\xbb\xbfdoc_id")
+
+
 def test_config_and_state(spark, tmp_path):
     assert files.expand_environment({"a": ["${X}-${Y}"]}, {"X": "1"}) == {"a": ["1-"]}
     assert files.secret({"api_key_env": "K", "api_key": "c"}, {"K": "e"}) == "e" and files.secret({"api_key": "c"}, {}) == "c"
     path = str(tmp_path / "state")
     for n in (1, 2):
         files.save_state(spark.range(n), path)
-        assert spark.read.parquet(path).count() == n
+        assert files.load_state(spark, path).count() == n
+    assert files.load_state(spark, str(tmp_path / "nothing")) is None
     assert files.baseline(spark, str(tmp_path / "none.json")).count() == 0
     items = spark.createDataFrame([("a", None), ("b", "x")], "doc_id string, error string")
     assert {(r.status, r.n) for r in files.run_summary(items).collect()} == {("ok", 1), ("error", 1), ("__ALL__", 2)} and files.exit_code(items) == 2
@@ -96,12 +122,14 @@ def test_config_and_state(spark, tmp_path):
 
 def test_worker_stream(spark, tmp_path):
     (tmp_path / "in").mkdir()
-    (tmp_path / "in/1.jsonl").write_text('{"text": "a b", "stem": "x"}\nnonsense\n\n{"path": "/d/y.md"}\n')
+    (tmp_path / "y.md").write_text("from a file")
+    (tmp_path / "in/1.jsonl").write_text('{"text": "a b", "stem": "x"}\nnonsense\n\n{"path": "%s"}\n{"path": "/none/z.md"}\n' % (tmp_path / "y.md"))
     bad = parse_lines(spark.read.text(str(tmp_path / "in"))).collect()
-    assert {(r.doc_id, r.error is None) for r in bad if r.error is None} == {("x", True), ("y", True)} and len(bad) == 3
+    assert {(r.doc_id, r.error is None) for r in bad if r.error is None} == {("x", True), ("y", True), ("z", True)} and len(bad) == 4
     q = run_worker(read_stream(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "cp"), lambda d: d.withColumn("n", F.length("text")))
     q.awaitTermination(60)
-    assert spark.read.parquet(str(tmp_path / "out/results")).count() == 2 and spark.read.parquet(str(tmp_path / "out/errors")).count() == 1
+    assert {(r.doc_id, r.n) for r in spark.read.parquet(str(tmp_path / "out/results")).collect()} == {("x", 3), ("y", 11)}
+    assert sorted(r.error for r in spark.read.parquet(str(tmp_path / "out/errors")).collect()) == ["no file /none/z.md", "not a document line"]
 
 
 def test_typo_blocking(spark):
