@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from ..functions import normalize as N
 from ..functions.catalog import FIELDS, GENERIC_PATTERNS, MISSING
-from ..operators import anonymize, arbitrate, extract
+from ..functions.labels import short_label
+from ..operators import anonymize, arbitrate, evaluate, extract, routing, similarity
 from . import pipeline
-from .registry import _QUERIES, _SQL, documents, query, table
+from .registry import _BASE, _DECIDED, _QUERIES, _SQL, documents, line_candidates, query, table
 
 # --- the generic pack over documents ---------------------------------------------------------
 
@@ -208,6 +209,161 @@ def span_islands(spark, sf_dir):
     return merged.select("doc_id", "x.*")
 
 
+
+# --- functions on phrases whose values are known ---------------------------------------------
+
+
+def _values(rows) -> str:
+    text = lambda v: "NULL" if v is None else str(v).upper() if isinstance(v, bool) else "'" + v.replace("'", "''") + "'"
+    return ", ".join(f"({k}, {', '.join(map(text, r))})" for k, r in enumerate(rows))
+
+
+def _dealt(spark, sf_dir, rows, schema: str):
+    """Every event with one of the rows, in turn; the rows are a constant."""
+    some = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], f"k int, {schema}")
+    e = table(spark, sf_dir, "events").select("event_id", F.expr(f"int(event_id % {len(rows)})").alias("k"))
+    return e.join(F.broadcast(some), "k").drop("k")
+
+
+_CODES = [
+    ("trop", "положительный", "положительный"), ("trop", "+", "положительный"), ("trop", "-", "отрицательный"), ("trop", "Negative", "отрицательный"), ("trop", "0,35 нг/мл", "0.35"), ("trop", "нет данных", MISSING),
+    ("stenosis", "стеноз 49%", "0"), ("stenosis", "стеноз 50%", "1"), ("stenosis", "89 %", "1"), ("stenosis", "90%", "2"), ("stenosis", "Окклюзия в устье", "2"), ("stenosis", "без гемодинамически значимого стеноза", "0"), ("stenosis", "норма", MISSING),
+    ("wall", "передней стенки", "A"), ("wall", "задне-диафрагмальный", "I"), ("wall", "Нижний", "I"), ("wall", "боковой", "L"), ("wall", "циркулярный", "N"),
+    ("acs", "Нестабильная стенокардия без подъёма ST", "NA"), ("acs", "ОКС без подъёма сегмента ST", "NSTEMI"), ("acs", "NSTEMI", "NSTEMI"), ("acs", "ОКС с подъёмом ST", "STEMI"), ("acs", "иное", "NA"),
+    ("rhythm", "Фибрилляция предсердий, тахиформа", "фибрилляция предсердий"), ("rhythm", "трепетание предсердий", "трепетание предсердий"), ("rhythm", "ритм синусовый", "синусовый"), ("rhythm", "узловой ритм", "узловой"),
+    ("rhythm", "ритм ЭКС", "ритм ЭКС"), ("rhythm", "желудочковый", "желудочковый"), ("rhythm", " предсердный ", "предсердный"), ("rhythm", " иной ", "иной"),
+    ("smoking", "Бросила курить в 2010", "Бросила курить"), ("smoking", "бросил курить", "Бросил курить"), ("smoking", "прекратил курить", "Прекратил курить"), ("smoking", "бывшая курильщица и бывший курильщик", "Бывший курильщик"),
+    ("smoking", "ex-smoker", "Бывший курильщик"), ("smoking", "не курит", "Не курит"), ("smoking", "курит 20 лет", "Курит"), ("smoking", "; нет сведений.", "нет сведений"),
+    ("killip", "iv", "4"), ("killip", "3", "3"), ("ckd", "ХБП С3A", "ХБП 3А"), ("ckd", "CKD 4", "ХБП 4"), ("avb", "АВ-блокада 2 степени", "2"), ("avb", "АВ-блокада", "1"), ("avb", "без блокад", "0"), ("avb", "норма", MISSING),
+    ("num", "-3,5 ед", "-3.5"), ("date", "5/3/21", "05.03.2021"), ("date", "31.02.2020", MISSING), ("bp", "120 \\ 80", "120/80"), ("bp", "нет", MISSING),
+    ("slug", " a b/ё_c. ", "a_b__c"), ("short", "Название: подробно, далее", "Название"), ("json", 'ok ```json {"a": 1} ``` end', '{"a": 1}'), ("json", "no object", None), ("run", "x/y z", "api__x_y_z"),
+]
+
+
+@query(f"SELECT event_id, fn, raw, want AS value FROM events JOIN (VALUES {_values(_CODES)}) AS c(k, fn, raw, want) ON event_id % {len(_CODES)} = k")
+def coded_phrases(spark, sf_dir):
+    """All scalar normalisers."""
+    made = {
+        "trop": N.norm_trop, "stenosis": N.stenosis_code, "wall": N.loc_code, "acs": N.acs_code, "rhythm": N.norm_rhythm, "smoking": N.norm_smoking, "killip": N.roman, "ckd": N.norm_ckd, "avb": N.norm_avb,
+        "num": N.norm_num, "date": N.norm_date, "bp": N.norm_bp, "slug": N.slug, "short": lambda x: short_label(F.col(x)), "json": N.json_object, "run": lambda x: N.run_dir_name(F.lit("api"), F.col(x), F.lit(" ")),
+    }
+    value = F.lit(None).cast("string")
+    for name, f in made.items():
+        value = F.when(F.col("fn") == name, f("raw")).otherwise(value)
+    return _dealt(spark, sf_dir, [c[:2] for c in _CODES], "fn string, raw string").select("event_id", "fn", "raw", value.alias("value"))
+
+
+_FINAL = [
+    ("dm", "не выявлен", "0", True), ("dm", "есть", "1", True), ("type_acs", "na", "NA", True), ("bp", "n/a", MISSING, True), ("killip", "II", "2", True), ("killip", "5", "5", False), ("ca_fact", "выполнена", "Y", True),
+    ("ca_fact", "отказ", "R", True), ("ca_fact", "иное", "N", True), ("diagnosis_icd", "i21.0", "I21.0", True), ("diagnosis_icd", "21", "21", False), ("crea", "99,5 мкмоль", "99.5", True), ("crea", "99999", "99999", False),
+    ("admission_date", "1.2.2020", "01.02.2020", True), ("admission_date", "31.02.2020", MISSING, True), ("ecg_avb", "АВ-блокада", "1", True), ("ecg_avb", "АВ-блокады нет", "0", True), ("ecg_avb", "норма", MISSING, True),
+    ("ca_lad", "95%", "2", True), ("rca", "1", "1", True), ("mi_localisation", "передняя", "A", True), ("smoking", "курит", "Курит", True), ("hf", " ХСН II ", "ХСН II", True), ("bp", "80/120", "80/120", False),
+    ("bp", "130/80", "130/80", True), ("bp", "400/80", "400/80", False), ("spo2", "97%", "97", True), ("spo2", "7", "7", False), ("card_trop", "pos", "положительный", True), ("ecg_rythm", "sinus", "синусовый", True), ("hb", "None", MISSING, True),
+]
+
+
+@query(f"SELECT event_id, field, raw, want AS value, ok AS valid FROM events JOIN (VALUES {_values(_FINAL)}) AS c(k, field, raw, want, ok) ON event_id % {len(_FINAL)} = k")
+def final_values(spark, sf_dir):
+    """The last word on a field's value, and whether it has the field's form."""
+    d = _dealt(spark, sf_dir, [c[:2] for c in _FINAL], "field string, raw string").withColumn("value", N.normalize_field_value("field", "raw"))
+    return d.select("event_id", "field", "raw", "value", N.format_valid("field", "value").alias("valid"))
+
+
+_SUPPORT = [
+    ("120.5", "Гемоглобин 120,5", "Гемоглобин 120,5 г/л.", True, True), ("121", "Гемоглобин 120,5", "Гемоглобин 120,5 г/л.", True, False), ("1", "Диабет", "Диабет.", True, True), ("1", " ", "Диабет.", True, False),
+    ("120.5", "Гемоглобин 120,5", "Гемоглобин 120,5 г/л.", False, False), (MISSING, "", "", False, True), ("130/80", "АД 130 / 80", "АД 130 / 80 мм", True, True), ("130/90", "АД 130 / 80", "АД 130 / 80 мм", True, False), ("Курит", "КУРИТ", "Много курит.", True, True), (None, "", "", False, True),
+]
+
+
+@query(f"SELECT event_id, c.value, ok AS supported FROM events JOIN (VALUES {_values(_SUPPORT)}) AS c(k, value, evidence, sentence, placed, ok) ON event_id % {len(_SUPPORT)} = k")
+def supported_values(spark, sf_dir):
+    d = _dealt(spark, sf_dir, [c[:4] for c in _SUPPORT], "value string, evidence string, sentence string, placed boolean")
+    return d.select("event_id", "value", N.value_supported("value", "evidence", "sentence", "placed").alias("supported"))
+
+
+_NESTED = {f: f"CASE WHEN c_custkey % {k + 2} = 0 THEN NULL ELSE concat(c_custkey + {k}, '') END" for k, f in enumerate(FIELDS)}
+
+
+@query("SELECT c_custkey AS doc_id, " + ", ".join(f"coalesce({x}, '{MISSING}') AS {chr(34)}{f}{chr(34)}" for f, x in _NESTED.items()) + " FROM customer")
+def nested_round_trip(spark, sf_dir):
+    flat = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), *[F.expr(x).alias(f) for f, x in _NESTED.items()])
+    return arbitrate.flattened(arbitrate.nested(flat))
+
+
+# --- arbitration: peers, fields without candidates, audits -----------------------------------
+
+_PRIORS = "priors AS (SELECT DISTINCT l_orderkey AS doc_id, unnest(['hf', 'killip', 'hb']) AS field, (l_orderkey % 3 + 1)::VARCHAR AS value, (l_orderkey % 10) / 10 AS support FROM lineitem)"
+_WITH_PEERS = _BASE.replace(
+    "w4 AS (SELECT *, bool_or(evidence_ok AND NOT absence AND base_score >= 0.55) OVER (PARTITION BY doc_id, field) AS direct FROM w3)",
+    f"""{_PRIORS},
+w3b AS (SELECT w3.*, CASE WHEN base_score >= max(base_score) OVER (PARTITION BY w3.doc_id, w3.field) - 0.08 AND w3.field IN ('hf', 'killip') THEN least(greatest(coalesce(support, 0) * 0.035::DOUBLE, 0), 0.035::DOUBLE) ELSE 0 END AS bonus FROM w3 LEFT JOIN priors USING (doc_id, field, value)),
+w3c AS (SELECT *, CASE WHEN bonus > 0 THEN least(1.0::DOUBLE, base_score + bonus) ELSE base_score END AS moved FROM w3b),
+w4 AS (SELECT *, bool_or(evidence_ok AND NOT absence AND moved >= 0.55) OVER (PARTITION BY doc_id, field) AS direct FROM w3c)""",
+).replace("THEN base_score * 0.65 ELSE base_score END AS s5", "THEN moved * 0.65 ELSE moved END AS s5")
+
+
+@query(f"WITH {_WITH_PEERS} SELECT doc_id, field, ord, round(bonus, 6) AS peer_bonus, round(score, 6) AS score FROM scored")
+def peer_scores(spark, sf_dir):
+    """Near ties moved by what peers have."""
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id")).distinct()
+    priors = li.select("doc_id", F.explode(F.array(*map(F.lit, ("hf", "killip", "hb")))).alias("field"), F.expr("string(doc_id % 3 + 1)").alias("value"), F.expr("(doc_id % 10) / 10").alias("support"))
+    s = arbitrate.scored(line_candidates(spark, sf_dir), priors, 0.035)
+    return s.select("doc_id", "field", "ord", F.round("peer_bonus", 6).alias("peer_bonus"), F.round("score", 6).alias("score"))
+
+
+@query(f"""WITH {_DECIDED}, every AS (SELECT DISTINCT o_orderkey AS doc_id, unnest(['hb', 'killip', 'hf', 'bb', 'ldl']) AS field FROM orders)
+SELECT e.doc_id, e.field, coalesce(l.value, '{MISSING}') AS value, coalesce(l.score, 0.55)::DOUBLE AS score, coalesce(l.label, 'suspicious') AS label, coalesce(l.conflict, FALSE) AS conflict FROM every e LEFT JOIN labelled l USING (doc_id, field)""")
+def completed_fields(spark, sf_dir):
+    docs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"))
+    d = arbitrate.decide(arbitrate.scored(line_candidates(spark, sf_dir)))
+    return arbitrate.complete(d, docs, ["hb", "killip", "hf", "bb", "ldl"]).select("doc_id", "field", "value", "score", "label", "conflict")
+
+
+@query(f"""WITH {_BASE} SELECT doc_id, field, string_agg(source || ':' || fam || ':' || value || ':' || round(round(least(1.0, greatest(0.0, score)), 4) * 10000)::INT::VARCHAR, ' ' ORDER BY round(least(1.0, greatest(0.0, score)), 4) DESC, source_ord, ord) AS candidates FROM scored GROUP BY doc_id, field""")
+def candidate_audit(spark, sf_dir):
+    rows = arbitrate.audit(arbitrate.scored(line_candidates(spark, sf_dir)))
+    one = lambda x: F.concat_ws(":", x.source, x.family, x.value, F.round(x.score * 10000).cast("int").cast("string"))
+    return rows.select("doc_id", "field", F.array_join(F.transform("candidates", one), " ").alias("candidates"))
+
+
+@query(f"WITH {_DECIDED} SELECT doc_id, field, value FROM labelled WHERE value <> '{MISSING}' AND score >= 0.90 AND format_ok AND evidence_ok")
+def confident_values(spark, sf_dir):
+    return similarity.confident(arbitrate.decide(arbitrate.scored(line_candidates(spark, sf_dir))))
+
+
+@query(f"WITH {_DECIDED} SELECT doc_id, field, value, CASE WHEN value = '{MISSING}' THEN NULL ELSE selected_source END AS source FROM labelled")
+def field_context(spark, sf_dir):
+    c = arbitrate.context(arbitrate.decide(arbitrate.scored(line_candidates(spark, sf_dir))))
+    return c.select("doc_id", F.explode("context").alias("field", "v")).select("doc_id", "field", "v.value", "v.source")
+
+
+@query(f"SELECT doc_id, field FROM ({_SQL['family_compare_events']}) WHERE event IN ('regex_coverage_gap', 'api_coverage_gap', 'semantic_conflict')")
+def disagreement_fields(spark, sf_dir):
+    return routing.disagreements(routing.compared(line_candidates(spark, sf_dir)))
+
+
+@query(f"""WITH f AS (SELECT o_orderkey AS doc_id, unnest(['ca_fact', 'ca_date', 'ca_lad', 'crea', 'dm']) AS field, unnest([CASE WHEN o_orderkey % 3 = 0 THEN 'Y' ELSE 'N' END, CASE WHEN o_orderkey % 3 = 0 THEN strftime(o_orderdate, '%d.%m.%Y') ELSE '{MISSING}' END,
+  CASE WHEN o_orderkey % 3 = 0 THEN CASE WHEN o_custkey % 100 < 50 THEN '0' WHEN o_custkey % 100 < 90 THEN '1' ELSE '2' END ELSE '{MISSING}' END, CASE WHEN o_custkey % 5 = 0 THEN '{MISSING}' ELSE (o_custkey % 300)::VARCHAR || '.5' END, CASE WHEN o_orderkey % 2 = 0 THEN '0' ELSE '1' END]) AS value FROM orders)
+SELECT doc_id, field, value, (CASE WHEN value = '{MISSING}' THEN 0.0 ELSE 0.9 END)::DOUBLE AS score, CASE WHEN value = '{MISSING}' THEN 'bad' ELSE 'good' END AS label, CASE WHEN value = '{MISSING}' THEN NULL ELSE 'regex' END AS selected_source FROM f""")
+def postprocessed_fields(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    done = F.when(F.expr("o_orderkey % 3 = 0"), "Да, выполнена").otherwise("нет")
+    raw = {"ca_fact": done, "ca_date": F.date_format(F.to_date("o_orderdate"), "d/M/yyyy"), "ca_lad": F.concat(F.expr("string(o_custkey % 100)"), F.lit(" %")), "crea": F.when(F.expr("o_custkey % 5 = 0"), "null").otherwise(F.concat(F.expr("string(o_custkey % 300)"), F.lit(",5 мкмоль/л"))), "dm": F.when(F.expr("o_orderkey % 2 = 0"), "отрицает").otherwise("да")}
+    rows = o.select(F.col("o_orderkey").alias("doc_id"), F.explode(F.array(*[F.struct(F.lit(f).alias("field"), v.alias("value")) for f, v in raw.items()])).alias("x")).select("doc_id", "x.*")
+    rows = rows.withColumns({"score": F.lit(0.9), "label": F.lit("good"), "selected_source": F.lit("regex")})
+    return arbitrate.postprocessed(rows).select("doc_id", "field", "value", "score", "label", "selected_source")
+
+
+@query("""SELECT d.doc_id, 'flags' AS grp, length(d.text) + 13 AS n_user, '{"quality":"' || l.quality || '","toxic":"' || l.toxic || '"}' AS answer FROM documents d JOIN labels l USING (doc_id)""")
+def training_chats(spark, sf_dir):
+    """Training chats of documents and their labels, read back."""
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("string").alias("quality"), F.col("toxic").cast("string").alias("toxic")).unpivot("doc_id", ["quality", "toxic"], "field", "value")
+    groups = spark.createDataFrame([("quality", "flags"), ("toxic", "flags")], "field string, grp string")
+    chats, _ = evaluate.chat_rows(documents(spark, sf_dir), labels, groups)
+    said = F.from_json("chat", "messages array<struct<role:string,content:string>>").messages
+    return chats.select("doc_id", "grp", F.length(said[1].content).cast("long").alias("n_user"), said[2].content.alias("answer"))
+
+
 def queries() -> dict:
     return dict(_QUERIES)
 
