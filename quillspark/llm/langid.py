@@ -35,8 +35,9 @@ _LETTER = re.compile(r"[^\W\d_]")
 
 
 def bins_of(text: bytes) -> np.ndarray:
-    """Bins of the byte trigrams of a text, except those without a letter."""
-    b = np.frombuffer(b" " + text.translate(_CLEAN) + b" ", np.uint8)
+    """Bins of the byte trigrams of a text, except those without a letter.  Texts that are joined by
+    two blanks have the bins of each, so counts do not depend on how texts are batched."""
+    b = np.frombuffer(b"  " + text.translate(_CLEAN) + b"  ", np.uint8)
     blank = b == 32
     b = b.astype(np.uint32)
     code = b[:-2] | b[1:-1] << np.uint32(8) | b[2:] << np.uint32(16)
