@@ -328,16 +328,18 @@ def centroid_medoids(vectors: DataFrame) -> DataFrame:
     """(cluster, doc_id, mean_distance): the member with the least mean semantic distance to the others.
 
     Over unit vectors the distances of a member sum to a dot product with the sum of the cluster, so
-    no pairs are made: one pass adds up, one pass compares.
+    no pairs are made: one pass adds up a vector a cluster, one pass compares each member with it,
+    and the least of a cluster is a partial aggregate.
     """
-    dims = vectors.select("doc_id", "cluster", F.posexplode("vector").alias("k", "x"))
-    sums = dims.groupBy("cluster", "k").agg(F.sum("x").alias("sx"))
-    size = vectors.groupBy("cluster").agg(F.count("*").alias("size"))
-    with_sum = dims.join(sums, ["cluster", "k"]).groupBy("cluster", "doc_id").agg(F.sum(F.col("x") * F.col("sx")).alias("all_dots"), F.sum(F.col("x") * F.col("x")).alias("own")).join(F.broadcast(size), "cluster")
-    others = F.greatest(F.lit(1), F.col("size") - 1)
-    mean = F.round((F.col("size") - 1 - (F.col("all_dots") - F.col("own"))) / 2 / others, 6)
-    rank = F.row_number().over(Window.partitionBy("cluster").orderBy("mean_distance", "doc_id"))
-    return with_sum.withColumn("mean_distance", mean).withColumn("rank", rank).where("rank = 1").select("cluster", "doc_id", "mean_distance")
+    dims = vectors.select("cluster", F.posexplode("vector").alias("k", "x"))
+    sums = dims.groupBy("cluster", "k").agg(F.sum("x").alias("sx"), F.count("*").alias("size"))
+    whole = sums.groupBy("cluster").agg(F.array_sort(F.collect_list(F.struct("k", "sx"))).alias("parts"), F.max("size").alias("size"))
+    whole = whole.select("cluster", F.transform("parts", lambda x: x.sx).alias("whole"), "size")
+    both = vectors.join(whole, "cluster")
+    own = dot(F.col("vector"), F.col("vector"))
+    mean = F.round((F.col("size") - 1 - (dot(F.col("vector"), F.col("whole")) - own)) / 2 / F.greatest(F.lit(1), F.col("size") - 1), 6)
+    best = both.select("cluster", F.struct(mean.alias("mean_distance"), "doc_id").alias("x")).groupBy("cluster").agg(F.min("x").alias("x"))
+    return best.select("cluster", "x.doc_id", "x.mean_distance")
 
 
 def confident(decisions: DataFrame, least: float = 0.90) -> DataFrame:
