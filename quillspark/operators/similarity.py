@@ -347,29 +347,49 @@ def confident(decisions: DataFrame, least: float = 0.90) -> DataFrame:
     return decisions.where((F.col("value") != MISSING) & (F.col("score") >= least) & F.col("format_ok") & F.col("evidence_ok")).select("doc_id", "field", "value")
 
 
+def _keys(weights: dict[str, float], least_matched: float) -> list[str]:
+    """Fields of which a pair must share one to match by that much: the lightest ones go, as long as
+    all of them together stay below it."""
+    light, spare = set(), least_matched
+    for f, w in sorted(weights.items(), key=lambda x: x[1]):
+        spare -= w
+        if spare <= 1e-6:
+            break
+        light.add(f)
+    return [f for f in weights if f not in light]
+
+
 def clinical_neighbours(values: DataFrame, weights=None, least_weight: float = 3.0, least: float = 0.72, top: int = 12) -> DataFrame:
-    """(doc_id, rank, neighbour, similarity, shared_weight): by weighted agreement of shared fields.
+    """(doc_id, rank, neighbour, similarity, shared_weight): by weighted agreement of shared fields;
+    ties go to the smaller doc_id.  Of several values of a field the largest counts.
 
-    Pairs come from an equi-join on (field, value), since a similarity above zero needs an equal
-    value; the weight of all fields that both have comes from bit masks, not from a join on fields.
+    Likeness depends on the values alone, so distinct records are paired, not documents: of the
+    documents of a record no list needs more than the first top + 1.  Records meet on an equal value
+    of a heavy field; the light ones cannot reach the least agreement by themselves.
     """
-    weights = weights or CLINICAL_WEIGHTS
+    weights = {f: float(w) for f, w in (weights or CLINICAL_WEIGHTS).items()}
     names = list(weights)
-    spark = values.sparkSession
-    table = F.broadcast(spark.createDataFrame([(f, float(w), 1 << k) for k, (f, w) in enumerate(weights.items())], "field string, weight double, bit long"))
-    v = values.join(table, "field")
-    masks = v.groupBy("doc_id").agg(F.bit_or("bit").alias("mask"))
-    v = v.join(masks, "doc_id")
-    a = v.select("field", "value", "weight", F.col("doc_id").alias("i"), F.col("mask").alias("mi"))
-    b = v.select("field", "value", F.col("doc_id").alias("j"), F.col("mask").alias("mj"))
-    pairs = a.join(b, ["field", "value"]).where("i < j").groupBy("i", "j", "mi", "mj").agg(F.sum("weight").alias("matched"))
-    both = F.col("mi").bitwiseAND(F.col("mj"))
-    shared = sum((F.when(both.bitwiseAND(F.lit(1 << k)) != 0, float(weights[f])).otherwise(0.0) for k, f in enumerate(names)), F.lit(0.0))
-    pairs = pairs.withColumn("shared_weight", F.round(shared, 6)).withColumn("similarity", F.round(F.col("matched") / F.col("shared_weight"), 6))
-    pairs = pairs.where((F.col("shared_weight") >= least_weight) & (F.col("similarity") >= least))
-    edges = pairs.selectExpr("i AS doc_id", "j AS neighbour", "similarity", "shared_weight").union(pairs.selectExpr("j", "i", "similarity", "shared_weight"))
-    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("similarity"), "neighbour"))
-    return edges.withColumn("rank", rank).where(F.col("rank") <= top)
+    keys = [names.index(f) for f in _keys(weights, least * least_weight)]
+    docs = values.where(F.col("field").isin(*names)).groupBy("doc_id").agg(F.array(*[F.max(F.when(F.col("field") == f, F.col("value"))) for f in names]).alias("record"))
+    first = F.row_number().over(Window.partitionBy("record").orderBy("doc_id"))
+    records = docs.withColumn("place", first).where(F.col("place") <= top + 1).groupBy("record").agg(F.array_sort(F.collect_list("doc_id")).alias("ids"))
+
+    met = records.select("record", "ids", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col("record")[k].alias("value")) for k in keys])).alias("key")).where("key.value IS NOT NULL")
+    a = met.select("key.k", "key.value", F.col("record").alias("x"), F.col("ids")[0].alias("i"))
+    b = met.select("key.k", "key.value", F.col("record").alias("y"), "ids", F.col("ids")[0].alias("j"))
+    x, y = F.col("x"), F.col("y")
+    total = lambda hit: F.round(sum((F.when(hit(k), weights[f]).otherwise(0.0) for k, f in enumerate(names)), F.lit(0.0)), 6)
+    matched, shared = total(lambda k: x[k] == y[k]), total(lambda k: x[k].isNotNull() & y[k].isNotNull())
+    once = F.coalesce(*[F.when(x[k] == y[k], F.lit(k)) for k in keys]) == F.col("k")
+    pairs = a.join(b, ["k", "value"]).where(once).select("x", "ids", shared.alias("shared_weight"), matched.alias("matched"))
+    pairs = pairs.withColumn("similarity", F.round(F.col("matched") / F.col("shared_weight"), 6)).where((F.col("shared_weight") >= least_weight) & (F.col("similarity") >= least))
+
+    rank = F.row_number().over(Window.partitionBy("x").orderBy(F.desc("similarity"), "neighbour"))
+    near = pairs.select("x", F.explode("ids").alias("neighbour"), "similarity", "shared_weight").withColumn("rank", rank).where(F.col("rank") <= top + 1)
+    lists = near.groupBy(F.col("x").alias("record")).agg(F.array_sort(F.collect_list(F.struct("rank", "neighbour", "similarity", "shared_weight"))).alias("near"))
+    others = F.slice(F.filter("near", lambda n: n.neighbour != F.col("doc_id")), 1, top)
+    rows = docs.join(lists, "record").select("doc_id", F.posexplode(others).alias("at", "n"))
+    return rows.select("doc_id", (F.col("at") + 1).alias("rank"), "n.neighbour", "n.similarity", "n.shared_weight")
 
 
 def peer_priors(values: DataFrame, clusters: DataFrame, neighbours: DataFrame, cluster_weight: float = 0.55, neighbour_weight: float = 0.45) -> DataFrame:
