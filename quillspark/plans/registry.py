@@ -228,6 +228,23 @@ def decode_values(spark, sf_dir):
     return decoded(rows, {"region": region}).select("n_nationkey", "n_name", "label")
 
 
+@query("""WITH f AS (SELECT c_custkey AS doc_id, unnest([0, 0, 1, 1]) AS section, unnest([0, 1, 0, 1]) AS place, unnest(['place', 'place', 'account', 'account']) AS grp, unnest(['nation', 'killip', 'segment', 'state']) AS field,
+  unnest([c_nationkey::VARCHAR, (c_custkey % 5)::VARCHAR, CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE c_mktsegment END, CASE WHEN c_acctbal < 0 THEN 'Не Указано' ELSE 'paid' END]) AS raw_value FROM customer)
+SELECT doc_id, section::INT AS section, place::INT AS place, upper(grp[1]) || substr(grp, 2) AS title, grp || '.' || field AS path, CASE field WHEN 'nation' THEN 'Nation' WHEN 'segment' THEN 'Segment' ELSE field END AS label,
+  CASE field WHEN 'nation' THEN 'Nation: by its key' WHEN 'segment' THEN 'Segment, of the market' ELSE field END AS description, raw_value,
+  CASE WHEN raw_value IS NULL OR raw_value = 'Не Указано' THEN 'не указано' WHEN field = 'nation' THEN n_name WHEN field = 'killip' THEN raw_value || ' класс' ELSE raw_value END AS value
+FROM f LEFT JOIN nation ON field = 'nation' AND n_nationkey::VARCHAR = raw_value""")
+def record_history(spark, sf_dir):
+    """Records of customers as they are shown."""
+    from ..functions.labels import history
+
+    c = table(spark, sf_dir, "customer")
+    raw = {"nation": F.col("c_nationkey").cast("string"), "killip": F.expr("string(c_custkey % 5)"), "segment": F.when(F.expr("c_custkey % 7 <> 0"), F.col("c_mktsegment")), "state": F.when(F.col("c_acctbal") < 0, "Не Указано").otherwise("paid")}
+    rows = c.select(F.col("c_custkey").alias("doc_id"), F.explode(F.array(*[F.struct(F.lit(f).alias("field"), v.alias("value")) for f, v in raw.items()])).alias("x")).select("doc_id", "x.*")
+    nations = {str(r.n_nationkey): r.n_name for r in table(spark, sf_dir, "nation").collect()}
+    return history(rows, {"place": "nation killip", "account": "segment state"}, {"nation": "Nation: by its key", "segment": "Segment, of the market"}, {"nation": nations})
+
+
 # --- evaluation ------------------------------------------------------------------------------
 
 #: References and predictions made from orders: three fields a document.
