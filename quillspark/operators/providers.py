@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import catalog as K
+from ..sources.files import secret, shared_folder
 from .extract import COLUMNS, DISCHARGE, SCHEMA
 from .segment import regions, sentence_of, sentences, split_sections
 
@@ -161,10 +162,43 @@ def chat_provider(url: str, model: str, key_variable: str, timeout: float = 90,
     return call
 
 
+#: Variables that switch a provider off, texts that do so, and a key that is none.
+SWITCHES = {"api": "LLM_API_ENABLED", "local": "LOCAL_LLM_ENABLED"}
+OFF = ("0", "false", "no", "off")
+NO_KEY = "PUT_API_KEY_HERE"
+
+
+def usable(config: dict, env=None) -> dict[str, bool]:
+    """Which providers a configuration and the environment allow: a variable can switch each off, but
+    not on; the API needs an address, a model and a key as well."""
+    env = os.environ if env is None else env
+    steps, api, models = (config.get(k) or {} for k in ("pipeline", "api", "models"))
+    key = secret(api, env)
+    asked = {
+        "api": steps.get("use_api") and api.get("enabled") and api.get("mode", "uncertain") != "disabled" and all((api.get("base_url"), api.get("model"), key, key != NO_KEY)),
+        "local": steps.get("use_local") and models.get("local_enabled", True) and "disabled" not in (models.get("local_backend", "disabled"), steps.get("local_mode", "uncertain")),
+    }
+    return {k: bool(v) and env.get(SWITCHES[k], "").strip().lower() not in OFF for k, v in asked.items()}
+
+
+def configured(config: dict, make: Callable[[str, dict], Callable[[str, str], str]], env=None) -> tuple[dict[str, Callable], list[tuple[str, str]]]:
+    """The providers that are usable, each made once by make(name, its settings), and (name, error) of
+    those that could not be made; a run goes on without them."""
+    made, failed = {}, []
+    for name in (n for n, ok in usable(config, env).items() if ok):
+        try:
+            made[name] = make(name, config["api" if name == "api" else "models"])
+        except Exception as e:  # providers fail in ways of their own
+            failed.append((name, repr(e)))
+    return made, failed
+
+
 def provider_candidates(docs: DataFrame, asked: DataFrame, provider: Callable[[str, str], str], source: str = "api", retries: int = 2, pause: float = 0.5) -> tuple[DataFrame, DataFrame]:
     """Candidates, and errors (doc_id, error).  docs (doc_id, text); asked (doc_id, field): documents
     that nothing is asked of never reach the provider.  A document whose call fails for good has no
-    candidates of this provider."""
+    candidates of this provider.  Answers are kept in the shared folder: a provider is asked once,
+    whatever is made of its candidates and errors."""
+    shared_folder(docs.sparkSession)
     want = asked.groupBy("doc_id").agg(F.array_sort(F.collect_set("field")).alias("fields"))
     rows = docs.select("doc_id", "text").join(want, "doc_id")
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -180,5 +214,5 @@ def provider_candidates(docs: DataFrame, asked: DataFrame, provider: Callable[[s
                     out.append({"doc_id": i, "error": f"{type(e).__name__}: {e}"[:300]})
             yield pd.DataFrame(out, columns=[*COLUMNS, "error"]).astype(object).where(lambda x: x.notna(), None)
 
-    both = rows.mapInPandas(run, SCHEMA.format(id=kind) + ", error string")
+    both = rows.mapInPandas(run, SCHEMA.format(id=kind) + ", error string").checkpoint()
     return both.where("error IS NULL").drop("error"), both.where("error IS NOT NULL").select("doc_id", "error")

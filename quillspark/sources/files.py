@@ -9,6 +9,7 @@ import io
 import json
 import os
 import re
+import tempfile
 import tomllib
 import zipfile
 
@@ -186,6 +187,18 @@ def export_zip(spark: SparkSession, out: str, target: str) -> int:
     return len(names)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir.  Where it is unset a local session gets one of its own; a
+    cluster's machines would not share that, so there it is an error."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if named is None and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
+    return sc.getCheckpointDir()
+
+
 def run_summary(items: DataFrame) -> DataFrame:
     """(status, n) over items (doc_id, error), and a total."""
     return items.withColumn("status", F.when(F.col("error").isNull(), "ok").otherwise("error")).rollup("status").agg(F.count("*").alias("n")).select(F.coalesce("status", F.lit("__ALL__")).alias("status"), "n")
@@ -230,3 +243,11 @@ def load_state(spark: SparkSession, path: str) -> DataFrame | None:
 def fields_of(record: dict) -> dict[str, str]:
     """A nested record of one document as a flat one, every field a text."""
     return {n: str((record.get(g) or {}).get(n, MISSING)) for g, names in GROUPS.items() for n in names.split()} if isinstance(record, dict) else dict.fromkeys(FIELDS, MISSING)
+
+
+def write_cluster_report(clusters: DataFrame, frequency: DataFrame, top_terms: DataFrame, out: str) -> None:
+    """Three CSV folders for people: clusters (file, cluster, cluster_probability), document_frequency,
+    most frequent terms first, and cluster_top_terms with the rank of a term in its cluster."""
+    write_csv(clusters.select(F.col("doc_id").alias("file"), "cluster", F.round("probability", 6).alias("cluster_probability")), f"{out}/clusters")
+    write_csv(frequency.orderBy(F.desc("df"), "term"), f"{out}/document_frequency")
+    write_csv(top_terms.orderBy("cluster", "rank"), f"{out}/cluster_top_terms")
