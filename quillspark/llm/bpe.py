@@ -46,8 +46,10 @@ WORD_CHUNKS = re.compile(rf"[^{SPACE}]+")
 ODD = re.compile("[\x00-\x08\x0e-\x1f\x7f-\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff]")
 
 WORDS = 16_384
-#: Chunks that a worker remembers, and their bytes.
-CACHE, CACHE_BYTES = 300_000, 32 << 20
+#: Chunks that a worker remembers, the bytes of them and their ids, and the bits of a slot's number.
+CACHE, CACHE_BYTES, SLOT_BITS = 600_000, 64 << 20, 20
+#: Chunks that a task counts.
+COUNTED = 300_000
 NO_PAIR = np.int32(2**31 - 1)
 
 
@@ -258,11 +260,37 @@ class Transducer:
         return out
 
 
+class Remembered:
+    """chunk -> ids of the chunks met last, in two Arrow arrays: a chunk's hash names a slot, the slot an
+    entry, and the entry counts if its chunk is the same."""
+
+    def __init__(self):
+        self.clear()
+
+    def clear(self) -> None:
+        self.entry = np.full(1 << SLOT_BITS, -1, np.int32)
+        self.chunks, self.ids = pa.array([], pa.large_string()), pa.array([], pa.large_binary())
+
+    def find(self, chunks: pa.LargeStringArray, slots: np.ndarray) -> np.ndarray:
+        """The entry of each chunk, -1 where there is none."""
+        entry = self.entry[slots]
+        tried = np.flatnonzero(entry >= 0)
+        same = pc.equal(self.chunks.take(pa.array(entry[tried])), chunks.take(pa.array(tried)))
+        entry[tried[~same.to_numpy(zero_copy_only=False)]] = -1
+        return entry
+
+    def add(self, chunks: pa.LargeStringArray, ids: pa.LargeBinaryArray, slots: np.ndarray) -> None:
+        if len(self.chunks) > CACHE or self.chunks.nbytes + self.ids.nbytes > CACHE_BYTES:
+            self.clear()
+        self.entry[slots] = np.arange(len(self.chunks), len(self.chunks) + len(chunks), dtype=np.int32)
+        self.chunks, self.ids = pa.concat_arrays([self.chunks, chunks]), pa.concat_arrays([self.ids, ids])
+
+
 class Encoder:
     """Texts to ids: remembered chunks, then the automaton, then merges of a whole batch."""
 
     def __init__(self, vocabulary: Vocabulary, transducer: Transducer | None = None):
-        self.vocabulary, self.transducer, self.known, self.bytes = vocabulary, transducer, {}, 0
+        self.vocabulary, self.transducer, self.known = vocabulary, transducer, Remembered()
         self.by_words = bool(vocabulary.end)
         self.chunks, self.pieces = (WORD_CHUNKS, WORD_PIECES) if self.by_words else (BYTE_CHUNKS, BYTE_PIECES)
         self.special = regex.compile("|".join(f"({regex.escape(x)})" for x in vocabulary.special)) if vocabulary.special else None
@@ -274,29 +302,39 @@ class Encoder:
             text = unicodedata.normalize("NFC", text)
         return text.lower() if "Σ" not in text else "".join(c.lower() for c in text)  # no final-sigma rule
 
-    def learn(self, chunks: set) -> None:
-        new = list(chunks - self.known.keys())
-        self.bytes += sum(map(len, new))
-        if self.transducer:
-            found = self.transducer.look_up([c.encode() for c in new])
-            self.known.update((c, f) for c, f in zip(new, found, strict=True) if f is not None)
-            new = [c for c, f in zip(new, found, strict=True) if f is None]
+    def found(self, chunks: list[str]) -> list[bytes]:
+        """The ids of each chunk, by the automaton or by merges."""
+        out = self.transducer.look_up([c.encode() for c in chunks]) if self.transducer else [None] * len(chunks)
         # letters alone, with or without the space before them, are one piece
         whole, rest = [], []
-        for c in new:
-            (whole if c.isalpha() or (c[:1] == " " and c[1:].isalpha()) else rest).append(c)
-        pieces = list(map(self.pieces.findall, rest))
+        for k, c in enumerate(chunks):
+            if out[k] is None:
+                (whole if c.isalpha() or (c[:1] == " " and c[1:].isalpha()) else rest).append(k)
+        pieces = [self.pieces.findall(chunks[k]) for k in rest]
         number = {x: k for k, x in enumerate(dict.fromkeys(chain.from_iterable(pieces)))}
-        ids = self.vocabulary.merge([x.encode() for x in chain(whole, number)])
-        self.known.update(zip(whole, ids[: len(whole)], strict=True))
+        ids = self.vocabulary.merge([x.encode() for x in chain((chunks[k] for k in whole), number)])
+        for k, x in zip(whole, ids, strict=False):
+            out[k] = x
         of_piece = dict(zip(number, ids[len(whole):], strict=True)).__getitem__
-        self.known.update((c, b"".join(map(of_piece, p))) for c, p in zip(rest, pieces, strict=True))
+        for k, p in zip(rest, pieces, strict=True):
+            out[k] = b"".join(map(of_piece, p))
+        return out
+
+    def ids_of(self, chunks: pa.LargeStringArray) -> pa.LargeBinaryArray:
+        """The ids of distinct chunks, remembered or found and remembered from then on."""
+        listed = chunks.to_pylist()
+        slots = np.fromiter(map(hash, listed), np.int64, len(listed)).view(np.uint64) >> np.uint64(64 - SLOT_BITS)
+        entry = self.known.find(chunks, slots)
+        old, new = np.flatnonzero(entry >= 0), np.flatnonzero(entry < 0)
+        if not len(new):
+            return self.known.ids.take(pa.array(entry))
+        ids = pa.array(self.found([listed[k] for k in new.tolist()]), pa.large_binary())
+        both = pa.concat_arrays([self.known.ids.take(pa.array(entry[old])), ids])
+        self.known.add(chunks.take(pa.array(new)), ids, slots[new])
+        return both.take(pa.array(np.argsort(np.concatenate([old, new]))))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian uint32."""
-        if len(self.known) > CACHE or self.bytes > CACHE_BYTES:
-            self.known.clear()
-            self.bytes = 0
         # texts without odd characters are split, numbered and put together by Arrow
         odd = [k for k, t in enumerate(texts) if (self.by_words and ODD.search(t)) or ("<|" in t and self.special and self.special.search(t))]
         out: list = [None] * len(texts)
@@ -311,10 +349,7 @@ class Encoder:
             ends = np.cumsum([0, *map(len, lists)])
             flat = pa.array(chain.from_iterable(lists), pa.large_string())
         flat = flat.dictionary_encode()
-        distinct = flat.dictionary.to_pylist()
-        self.learn(set(distinct))
-        known = pa.array(map(self.known.__getitem__, distinct), pa.large_binary())
-        for k, ids in zip(plain, runs(known.take(flat.indices), ends), strict=True):
+        for k, ids in zip(plain, runs(self.ids_of(flat.dictionary).take(flat.indices), ends), strict=True):
             out[k] = ids
         return out
 
@@ -331,8 +366,8 @@ class Encoder:
             else:
                 split.append(self.chunks.findall(self.normal(t)))
         plain = [x for s in split for x in ([s] if not s or isinstance(s[0], str) else [p for p in s if isinstance(p, list)])]
-        self.learn(set().union(*plain))
-        get = self.known.__getitem__
+        distinct = list(dict.fromkeys(chain.from_iterable(plain)))
+        get = dict(zip(distinct, self.ids_of(pa.array(distinct, pa.large_string())).to_pylist(), strict=True)).__getitem__
         return [b"".join(map(get, s)) if not s or isinstance(s[0], str) else b"".join(x.to_bytes(4, "little") if isinstance(x, int) else b"".join(map(get, x)) for x in s) for s in split]
 
 
@@ -384,8 +419,8 @@ def frequent_chunks(texts: DataFrame, words: int = WORDS) -> list[str]:
         for batch in slices(batches):
             for t in batch.column("text").to_pylist():
                 c.update(BYTE_CHUNKS.findall(t))
-            if len(c) > CACHE:
-                c = Counter({w: n for w, n in c.items() if n > 1}) if sum(n > 1 for n in c.values()) < CACHE // 2 else Counter(dict(c.most_common(CACHE // 2)))
+            if len(c) > COUNTED:
+                c = Counter({w: n for w, n in c.items() if n > 1}) if sum(n > 1 for n in c.values()) < COUNTED // 2 else Counter(dict(c.most_common(COUNTED // 2)))
         top = heapq.nsmallest(words, c.items(), key=lambda x: (-x[1], x[0]))
         yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], names=["word", "n"])
 
@@ -401,8 +436,7 @@ def encoded(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_c
         data = f.read()
     encoder = Encoder(vocabulary_of(data))
     common = frequent_chunks(texts)
-    encoder.learn(set(common))
-    content = Transducer.build({w.encode(): encoder.known[w] for w in common})
+    content = Transducer.build({w.encode(): ids for w, ids in zip(common, encoder.found(common), strict=True)})
     name = f"lexicon-{uuid.uuid4().hex}.bin"
     send_file(spark, name, content)
     shared = spark.sparkContext.broadcast(data)  # the vocabulary file, of fixed size

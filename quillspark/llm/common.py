@@ -154,13 +154,15 @@ def unpack_sorted(data: bytes) -> np.ndarray:
 
 
 def slices(batches, size: int = 4_000_000):
-    """Batches cut so that the texts of a slice have about `size` bytes, or one row."""
+    """Batches cut so that the texts of a slice have about `size` bytes, or one row. What a slice leaves
+    unused in Arrow's pool is handed back before the next one."""
     for batch in batches:
         ends = np.cumsum(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False))
         at = 0
         while at < batch.num_rows:
             stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size)))
             yield batch.slice(at, stop - at)
+            pa.default_memory_pool().release_unused()
             at = stop
 
 
