@@ -302,6 +302,23 @@ def test_bpe(spark, strings):
     assert len(rows[len(strings)].ids) == 0 and bpe.encoded(frame(spark, []), BYTES).count() == 0
 
 
+@pytest.mark.parametrize("path", [BYTES, WORDS])
+def test_remembered_chunks_survive_clashing_slots_and_clearing(strings, monkeypatch, path):
+    """Few slots, so chunks take each other's place, and a memory that is cleared all the time."""
+    monkeypatch.setattr(bpe, "SLOT_BITS", 4)
+    monkeypatch.setattr(bpe, "CACHE", 50)
+    with open(path, "rb") as f:
+        e = bpe.Encoder(bpe.vocabulary_of(f.read()))
+    t = Tokenizer.from_file(path)
+    t.no_truncation()
+    t.no_padding()
+    some = strings[:600] * 2
+    for at in range(0, len(some), 7):
+        part = some[at:at + 7]
+        want = [x.ids for x in t.encode_batch(part, add_special_tokens=False)]
+        assert [np.frombuffer(x, "<u4").tolist() for x in e.encode(part)] == want
+
+
 def test_transducer():
     words = {f"{a}{b}ing".encode(): bytes([i, 0, 0, 0]) * (i % 3) for i, (a, b) in enumerate((a, b) for a in "abcd" for b in "xyz")}
     t = bpe.Transducer(bpe.Transducer.build(words))
