@@ -4,8 +4,8 @@ A document is the set of its distinct n-word shingles, as sorted 64-bit hashes.
 that meet the threshold num/den differ in at most d = (den-num)/(den+num) * (|A|+|B|)
 shingles.  Sizes are dealt into bands; for the largest size of a band the hash space is cut
 into k > d parts, so linked sets agree on at least k-d whole parts.  k is chosen so that
-one of those parts holds several shingles, and such parts are the tile keys: sets that
-agree on a part are candidates.  A bitmap signature holds the parity of the shingles that hash to
+one of those parts holds shingles, several if it can be, and such parts are the tile keys: sets that
+agree on a part are candidates, but each set leaves out the most frequent keys it can do without.  A bitmap signature holds the parity of the shingles that hash to
 each bit; the bit count of two bitmaps' exclusive-or is a lower bound of the sets' difference, so
 an upper bound of their overlap.  All pairs of a small bucket are tried; a bucket of more than
 SMALL sets is compared in size-sorted tiles.  What bitmaps leave connected is a group, and inside
@@ -38,7 +38,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import U64, WordHashes, checkpointed, id_and_text, mix, n_partitions, only, pack_sorted, remembers, slices, unpack_sorted, windows
@@ -46,8 +46,11 @@ from .bloom import only_listed
 from .components import connected_components
 
 RATIO = 1.25
-#: The fewest bits of a bitmap; larger sets have a power of two of at least six tenths of their size.
-BITS = 64
+#: Bits of a bitmap: a power of two of at least so many times the shingles in which linked sets of its
+#: size may differ a set, counted for FEWEST shingles at least.  With fewer, sets that share next to
+#: nothing pass in tiles of common keys, and groups grow with the square of the documents.
+BITS = Fraction(57, 5)
+FEWEST = 100
 #: Documents and shingles in one block of a group that is cut into tiles.
 BLOCK_ROWS, BLOCK_SHINGLES = 2048, 1_000_000
 #: Sets of a bucket of which all pairs are tried.
@@ -56,6 +59,9 @@ SMALL = 16
 FEW = 128
 #: High bits of a tile key that are sent; a chance meeting only makes a candidate.
 KEY_BITS = 48
+#: The last of them tell a set's bands apart, as the band modulo BANDS.
+BANDS = 4
+_LOW = U64(64 - KEY_BITS)
 _HASHES = WordHashes()
 remembers("jaccard", _HASHES.clear)
 
@@ -81,20 +87,20 @@ def bands(top: int) -> list[tuple[int, int]]:
 
 
 @functools.lru_cache(100_000)
-def parts_of(lo: int, hi: int, num: int, den: int) -> tuple[int, int, int]:
-    """For a band: parts k, parts of which agreement is certain, and the least shingles of a
-    part that makes a key.  Of all choices with k <= 2d+3, the one with the thickest keys."""
+def parts_of(lo: int, hi: int, num: int, den: int) -> tuple[int, int]:
+    """For a band: parts k, and the least shingles of a part that makes a key.  Of all choices with
+    k <= 2d+3, the one with the thickest keys that nearly all sets have more than d of."""
     d = (den - num) * 2 * hi // (den + num)
-    best = (d + 1, 1, 1)
     if d == 0:
-        return best
-    for least in range(2, 9):
+        return 1, 1
+    best = (2 * d + 3, 1)
+    for least in range(1, 9):
         for spare in range(1, d + 3):
             k = d + 1 + spare
             lam = lo / k
             thin = k * math.exp(-lam) * sum(lam**i / math.factorial(i) for i in range(least))
             if thin + 3 * math.sqrt(thin) <= spare:
-                best = (k, spare + 1, least)
+                best = (k, least)
                 break
         else:
             break
@@ -103,26 +109,40 @@ def parts_of(lo: int, hi: int, num: int, den: int) -> tuple[int, int, int]:
 
 def tile_keys(s: np.ndarray, num: int, den: int) -> np.ndarray:
     """Keys of a set: of its own band, and of each band that holds larger sets it can meet."""
+    return keys_and_spare(s, num, den)[0]
+
+
+def keys_and_spare(s: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of a set, and by band modulo BANDS how many of them it can do without: all sets linked with
+    it share more of the band's keys.  A set of t thick parts that differs from
+    others in d shingles at most shares t-d; only where that is none it sends thin and empty parts too,
+    which very many sets share."""
     n, out = len(s), []
+    spare = np.full(BANDS, 255)
     m = mix(s)
     total = np.concatenate([np.zeros(1, U64), np.cumsum(m, dtype=U64)])
     for b, (lo, hi) in enumerate(bands(n * den // num)):
         if hi < n or lo * num > n * den:
             continue
-        k, sure, least = parts_of(lo, hi, num, den)
+        k, least = parts_of(lo, hi, num, den)
+        differ = (den - num) * (n + min(hi, n * den // num)) // (den + num)
         cuts = (np.arange(1, k, dtype=np.float64) * (2.0**64 / k)).astype(U64)
         at = np.concatenate([[0], np.searchsorted(s, cuts), [n]])
         count = np.diff(at)
         key = mix(total[at[1:]] - total[at[:-1]] + mix(np.arange(k, dtype=U64) + U64(b << 32)) + count.astype(U64))
+        key = ((key >> _LOW) & ~U64(BANDS - 1) | U64(b % BANDS)) << _LOW
         thick = count >= least
-        out.append(key[thick] if k - int(thick.sum()) < sure else key)
-    return np.concatenate(out) if out else np.empty(0, U64)
+        more = int(thick.sum()) - differ - 1
+        out.append(key[thick] if more >= 0 else key)
+        spare[b % BANDS] = min(spare[b % BANDS], max(0, more))
+    keys = np.concatenate(out) if out else np.empty(0, U64)
+    return keys, spare if len(np.unique(keys)) == len(keys) else np.zeros_like(spare)
 
 
-def bitmap(s: np.ndarray) -> np.ndarray:
+def bitmap(s: np.ndarray, num: int = 9, den: int = 10) -> np.ndarray:
     """Parities of the shingles that hash to each bit; the low bits of the hash count, so a bitmap
     folds to a smaller one by the exclusive-or of its halves."""
-    n = max(BITS, 1 << (max(1, 6 * len(s) // 10) - 1).bit_length())
+    n = max(64, 1 << (int(BITS * (den - num) * max(len(s), FEWEST) / (den + num)) - 1).bit_length())
     odd = np.bincount((mix(s) & U64(n - 1)).astype(np.int64), minlength=n) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(U64)
 
@@ -171,17 +191,19 @@ def signature(s: np.ndarray) -> tuple[int, int, int]:
     return int(sums[0]), int(sums[1]), len(s)
 
 
-def _classes(batches, n):
+def _classes(batches, n, num, den):
     only("jaccard")
     for batch in slices(batches, 8_000_000):
         sets = [shingles(t, n) for t in _texts(batch)]
         signed = [pa.array(x, pa.int64()) for x in zip(*map(signature, sets), strict=True)] if sets else [pa.array([], pa.int64())] * 3
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *signed, pa.array([bitmap(s).tobytes() for s in sets], pa.binary())], names=["doc_id", *CLASS, "bits"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *signed, pa.array([bitmap(s, num, den).tobytes() for s in sets], pa.binary())], names=["doc_id", *CLASS, "bits"])
 
 
 def _split(keys: np.ndarray, ids: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of sorted keys: the pairs (larger, smaller id) of small buckets, and which entries are in
     large ones: of more than SMALL entries, or with a key that is hot elsewhere."""
+    if not len(keys):
+        return np.empty((0, 2), np.int64), np.empty(0, bool)
     edge = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]]))
     start, count = edge[:-1], np.diff(edge)
     large = (count > SMALL) | np.isin(keys[start], hot)
@@ -194,23 +216,25 @@ def _split(keys: np.ndarray, ids: np.ndarray, hot: np.ndarray) -> tuple[np.ndarr
     return np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0), np.repeat(large, count)
 
 
-_BLOB = (("bucket", pa.int32()), ("keys", pa.binary()), ("docs", pa.binary()), ("owner", pa.binary()), ("hot", pa.binary()), ("rows", pa.binary()))
+_BLOB = (("bucket", pa.int32()), ("keys", pa.binary()), ("docs", pa.binary()), ("owner", pa.binary()), ("hot", pa.binary()), ("rows", pa.binary()), ("spare", pa.binary()))
 
 
 def _keys(batches, n, num, den, buckets):
     """Blobs (bucket, sorted keys, sets, by the first sum of their class, and which of them owns each
-    key, hot keys) and, apart, the entries of keys that are hot in this batch."""
+    key, hot keys) and, apart, the entries of keys that are hot in this batch and the keys that sets can do without."""
     only("jaccard")
     for batch in slices(batches, 8_000_000):
-        seen, ids, keys, owner = set(), [], [], []
+        seen, ids, keys, owner, spare = set(), [], [], [], []
         for t in _texts(batch):
             s = shingles(t, n)
             same = signature(s)
             if not len(s) or same in seen:  # a copy is of the same class
                 continue
             seen.add(same)
-            k = np.unique(tile_keys(s, num, den) >> U64(64 - KEY_BITS))
+            k, more = keys_and_spare(s, num, den)
+            k = np.unique(k >> _LOW)
             keys.append(k)
+            spare.append(int(more @ (256 ** np.arange(BANDS))))
             owner.append(np.full(len(k), len(ids)))
             ids.append(same[0])
         if not keys:
@@ -220,25 +244,30 @@ def _keys(batches, n, num, den, buckets):
         keys, owner = keys[order], owner[order]
         _, apart = _split(keys, ids[owner], keys[:0])
         rows, hot = [], np.unique(keys[apart])
+        some = np.stack([ids, np.array(spare, np.int64)], 1)
+        rows.append((int(ids[0]) % buckets, None, None, None, None, None, some.astype("<i8").tobytes()))
         for k in range(0, int(apart.sum()), 1 << 16):
             some = np.stack([keys[apart][k:k + (1 << 16)].view(np.int64), ids[owner[apart][k:k + (1 << 16)]]], 1)
-            rows.append((int(some[0, 1]) % buckets, None, None, None, None, some.astype("<i8").tobytes()))
+            rows.append((int(some[0, 1]) % buckets, None, None, None, None, some.astype("<i8").tobytes(), None))
         keys, owner = keys[~apart], owner[~apart]
         cut = lambda x: np.searchsorted(((x >> U64(KEY_BITS - 32)) * U64(buckets) >> U64(32)).astype(np.int64), np.arange(buckets + 1))
         at, ah = cut(keys), cut(hot)
         for b in np.flatnonzero(np.diff(at) + np.diff(ah)):
             docs, number = np.unique(owner[at[b]:at[b + 1]], return_inverse=True)
             kind = "<u2" if len(docs) < 1 << 16 else "<u4"
-            rows.append((int(b), pack_sorted(keys[at[b]:at[b + 1]]), ids[docs].astype("<i8").tobytes(), number.astype(kind).tobytes(), pack_sorted(hot[ah[b]:ah[b + 1]]), None))
+            rows.append((int(b), pack_sorted(keys[at[b]:at[b + 1]]), ids[docs].astype("<i8").tobytes(), number.astype(kind).tobytes(), pack_sorted(hot[ah[b]:ah[b + 1]]), None, None))
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, (_, t) in enumerate(_BLOB)], names=[x for x, _ in _BLOB])
 
 
 def _meet(table: pa.Table) -> pa.Table:
-    """Of the blobs of a bucket: candidate pairs (u, v), and entries (u, key) of large buckets."""
+    """Of the blobs of a bucket: candidate pairs (u, v), entries (u, key) of large buckets, and (u, spare)."""
     only()
+    spare = [np.empty((0, 2), np.int64)]
     keys, ids, hot, apart = [np.empty(0, U64)], [np.empty(0, np.int64)], [np.empty(0, U64)], [np.empty((0, 2), np.int64)]
-    for k, docs, owner, h, rows in zip(*(table.column(c).to_pylist() for c in ("keys", "docs", "owner", "hot", "rows")), strict=True):
-        if rows is None:
+    for k, docs, owner, h, rows, more in zip(*(table.column(c).to_pylist() for c in ("keys", "docs", "owner", "hot", "rows", "spare")), strict=True):
+        if more is not None:
+            spare.append(np.frombuffer(more, "<i8").reshape(-1, 2))
+        elif rows is None:
             docs = np.frombuffer(docs, "<i8")
             keys.append(unpack_sorted(k))
             ids.append(docs[np.frombuffer(owner, "<u2" if len(docs) < 1 << 16 else "<u4")])
@@ -250,11 +279,14 @@ def _meet(table: pa.Table) -> pa.Table:
     keys, ids = keys[order], ids[order]
     pairs, large = _split(keys, ids, np.unique(np.concatenate(hot)))
     apart = np.concatenate([*apart, np.stack([keys[large].view(np.int64), ids[large]], 1)])
-    none = [None] * len(pairs)
+    spare = np.concatenate(spare)
+    none = lambda *some: pa.nulls(sum(map(len, some)), pa.int64())
+    column = lambda *some: pa.chunked_array([x if isinstance(x, pa.Array) else pa.array(x, pa.int64()) for x in some]).combine_chunks()
     return pa.table({
-        "u": np.concatenate([pairs[:, 0], apart[:, 1]]),
-        "v": pa.array([*pairs[:, 1].tolist(), *[None] * len(apart)], pa.int64()),
-        "key": pa.array([*none, *apart[:, 0].tolist()], pa.int64()),
+        "u": column(pairs[:, 0], apart[:, 1], spare[:, 0]),
+        "v": column(pairs[:, 1], none(apart, spare)),
+        "key": column(none(pairs), apart[:, 0], none(spare)),
+        "spare": column(none(pairs, apart), spare[:, 1]),
     })
 
 
@@ -402,6 +434,21 @@ def tiled(grouped: DataFrame, num: int, den: int) -> DataFrame:
     return placed.withColumn("tile", tiles).drop("band", "block", "cut", "cut_up", "cut_down")
 
 
+def rarest(met: DataFrame) -> DataFrame:
+    """(f1, grp): the entries of large buckets without those of the most frequent keys that a set can do
+    without, and without keys that only one set is left of.  All sets order keys alike, so the rarest
+    key that two linked sets share stays with both."""
+    entries = checkpointed(met.where("key is not null").select(F.col("u").alias("f1"), F.col("key").alias("grp")).distinct())
+    low, high = F.min("spare"), F.max("spare")  # they differ where sums of different sets are equal
+    spare = met.where("spare is not null").groupBy(F.col("u").alias("f1")).agg(F.when(low == high, low).otherwise(0).alias("spare"))
+    often = entries.groupBy("grp").agg(F.count("*").alias("often"))
+    of_set = Window.partitionBy("f1", F.pmod("grp", F.lit(BANDS))).orderBy(F.desc("often"), "grp")
+    ranked = entries.join(often, "grp").withColumn("at", F.row_number().over(of_set)).join(spare, "f1")
+    kept = ranked.where(F.expr(f"at > (shiftright(spare, 8 * cast(pmod(grp, {BANDS}) as int)) & 255)")).select("f1", "grp")
+    kept = checkpointed(kept)
+    return kept.join(kept.groupBy("grp").agg(F.count("*").alias("rows")).where("rows > 1").select("grp"), "grp", "left_semi")
+
+
 def jaccard_components(docs: DataFrame, n: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id): linked are sets of n-word shingles whose Jaccard
     similarity is at least the threshold (a fraction with a small denominator)."""
@@ -412,21 +459,20 @@ def jaccard_components(docs: DataFrame, n: int = 5, threshold: float = 0.8, id_c
     texts = id_and_text(docs, id_col, text_col)
     known = texts.where("doc_id is not null")
 
-    sized = checkpointed(texts.mapInArrow(lambda b: _classes(b, n), "doc_id long, f1 long, f2 long, n long, bits binary"))
+    sized = checkpointed(texts.mapInArrow(lambda b: _classes(b, n, num, den), "doc_id long, f1 long, f2 long, n long, bits binary"))
     classes = sized.where("doc_id is not null and n > 0").groupBy(*CLASS).agg(F.min("doc_id").alias("head"), F.count("*").alias("rows"), F.first("bits").alias("bits"))
     nodes = checkpointed(classes.withColumn("node", F.monotonically_increasing_id()))
 
-    blobs = known.mapInArrow(lambda b: _keys(b, n, num, den, buckets), "bucket int, keys binary, docs binary, owner binary, hot binary, rows binary")
-    met = checkpointed(blobs.groupBy("bucket").applyInArrow(_meet, "u long, v long, key long"))
+    blobs = known.mapInArrow(lambda b: _keys(b, n, num, den, buckets), "bucket int, keys binary, docs binary, owner binary, hot binary, rows binary, spare binary")
+    met = checkpointed(blobs.groupBy("bucket").applyInArrow(_meet, "u long, v long, key long, spare long"))
 
     # small buckets: pairs that the bitmaps' bound allows
     end = lambda c: nodes.select(F.col("f1").alias(c), F.col("node").alias(f"node_{c}"), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"b{c}"))
-    pairs = met.where("key is null").select("u", "v").distinct().join(end("u"), "u").join(end("v"), "v")
+    pairs = met.where("v is not null").select("u", "v").distinct().join(end("u"), "u").join(end("v"), "v")
     pairs = pairs.drop("u", "v").withColumnsRenamed({"node_u": "u", "node_v": "v"})
     may_link = pairs.mapInArrow(lambda b: _allowed(b, num, den), "u long, v long")
     # large buckets: tiles of bitmaps
-    shared = met.where("key is not null").select(F.col("u").alias("f1"), F.col("key").alias("grp")).distinct()
-    shared = tiled(shared.join(nodes.select("f1", "node", "n"), "f1").drop("f1"), num, den)
+    shared = tiled(rarest(met).join(nodes.select("f1", "node", "n"), "f1").drop("f1"), num, den)
     shared = shared.select(F.explode("tile").alias("tile"), "node").join(nodes.select("node", "n", "bits"), "node")
     in_tiles = linked(shared, num, den, buckets)
     grouped = connected_components(may_link.unionByName(in_tiles))
