@@ -16,9 +16,9 @@ def input_bytes(df: DataFrame) -> int:
 
 def by_key(df: DataFrame, *keys: str, each: int = 4 << 20) -> DataFrame:
     """Rows dealt by keys over a task for each so many bytes of input, so that what a task holds does not grow
-    with the tables; a few bytes are left to Spark's own shuffles."""
+    with the tables; input of fewer tasks than there are cores is left to Spark's own shuffles."""
     n = -(-input_bytes(df) // each)
-    return df.repartition(n, *keys) if n > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+    return df.repartition(n, *keys) if n > df.sparkSession.sparkContext.defaultParallelism else df
 
 
 def over_cores(df: DataFrame, *keys: str, each: int = 1 << 17) -> DataFrame:
