@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.catalog import MISSING
+from .spread import by_key
 
 
 def unpivoted(wide: DataFrame, fields, id_col: str = "doc_id") -> DataFrame:
@@ -49,10 +50,11 @@ def presence_scores(predicted: DataFrame, gold: DataFrame) -> DataFrame:
 
 def mismatches(predicted: DataFrame, gold: DataFrame) -> DataFrame:
     """What differs from the reference; documents without a prediction are one row each."""
-    known = predicted.select("doc_id").distinct().withColumn("present", F.lit(True))
-    rows = paired(predicted, gold, "left").join(known, "doc_id", "left")
+    dealt = lambda df, *keys: by_key(df, *keys, each=1 << 19)  # noqa: E731  a record of a few bytes is a row a field
+    known = dealt(predicted.select("doc_id"), "doc_id").distinct().withColumn("present", F.lit(True))
+    rows = dealt(paired(dealt(predicted, "doc_id", "field"), dealt(gold, "doc_id", "field"), "left"), "doc_id").join(known, "doc_id", "left")
     wrong = rows.where(F.col("present") & ~F.col("gold").eqNullSafe(F.col("predicted"))).select("doc_id", "field", "gold", "predicted")
-    lost = gold.select("doc_id").distinct().join(known, "doc_id", "left_anti").select("doc_id", F.lit("__MISSING_FILE__").alias("field"), F.lit(None).cast("string").alias("gold"), F.lit(None).cast("string").alias("predicted"))
+    lost = dealt(gold.select("doc_id"), "doc_id").distinct().join(known, "doc_id", "left_anti").select("doc_id", F.lit("__MISSING_FILE__").alias("field"), F.lit(None).cast("string").alias("gold"), F.lit(None).cast("string").alias("predicted"))
     return wrong.unionByName(lost)
 
 
